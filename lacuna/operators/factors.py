@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from lacuna.functions.vectors import (
 
 RANK_TOLERANCE = 1e-7
 NORM_FLOOR = 1e-9
+UNROLLED_RANK = 8
 
 
 @dataclass(frozen=True)
@@ -31,11 +33,67 @@ class Factor:
     def times(self, matrix: np.ndarray) -> Factor:
         return replace(self, matrix=self.matrix @ matrix)
 
-    def vectors(self, out: str) -> list[str]:
-        return rotated(columns(self.prefix, len(self.matrix)), self.matrix, out)
-
     def select(self, out: str) -> DataFrame:
-        return self.table.selectExpr(self.key, *self.vectors(out))
+        return select_vectors({out: self})
+
+
+def select_vectors(wanted: dict[str, Factor]) -> DataFrame:
+    """Vectors of one or more factors that share a table, as columns ``<name>0, <name>1, ...``.
+
+    Up to UNROLLED_RANK the products are written out as column arithmetic. Beyond that the rank
+    squared terms per row are one NumPy product per Arrow batch.
+    """
+    first = next(iter(wanted.values()))
+    table, key = first.table, first.key
+    sources = list(dict.fromkeys(f.prefix for f in wanted.values()))
+    rank = len(first.matrix)
+    if rank <= UNROLLED_RANK:
+        return table.selectExpr(key, *[c for name, f in wanted.items()
+                                       for c in rotated(columns(f.prefix, rank), f.matrix, name)])
+    inputs = [c for prefix in sources for c in columns(prefix, rank)]
+    outputs = [c for name, f in wanted.items() for c in columns(name, f.matrix.shape[1])]
+    blocks = np.zeros((len(inputs), len(outputs)))
+    done = 0
+    for factor in wanted.values():
+        top, width = sources.index(factor.prefix) * rank, factor.matrix.shape[1]
+        blocks[top:top + rank, done:done + width] = factor.matrix
+        done += width
+
+    def multiply(batches):
+        for batch in batches:
+            if batch.num_rows:
+                left = np.column_stack([batch.column(k + 1).to_numpy() for k in range(len(inputs))])
+                right = (left @ blocks).T
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *[pa.array(np.ascontiguousarray(x)) for x in right]], [key, *outputs])
+
+    schema = f"{key} bigint, " + ", ".join(f"{c} double" for c in outputs)
+    return table.select(key, *inputs).mapInArrow(multiply, schema)
+
+
+def table_products(table: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+    """``left^T right`` of two lists of columns of a table, by one NumPy product per Arrow batch.
+
+    A task sends on one small matrix, and those are added up in a shuffle, not on the driver.
+    """
+    names = list(dict.fromkeys(left + right))
+    at = [names.index(c) for c in left], [names.index(c) for c in right]
+
+    def partial(batches):
+        total = np.zeros((len(left), len(right)))
+        for batch in batches:
+            if batch.num_rows:
+                block = np.column_stack([batch.column(k).to_numpy() for k in range(len(names))])
+                total += block[:, at[0]].T @ block[:, at[1]]
+        i, j = np.indices(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (i, j, total)], ["i", "j", "g"])
+
+    sums = (table.select(*names).mapInArrow(partial, "i bigint, j bigint, g double")
+            .groupBy("i", "j").agg(F.sum("g").alias("g")).collect())
+    out = np.zeros((len(left), len(right)))
+    for i, j, g in sums:
+        out[i, j] = g
+    return out
 
 
 def thin_svd_from_gram(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,6 +141,8 @@ def relative_change(d_old: np.ndarray, d_new: np.ndarray, cross_u: np.ndarray, c
 
 def table_gram(table: DataFrame, names: list[str]) -> np.ndarray:
     """Gram matrix of a factor table by one aggregation."""
+    if len(names) > UNROLLED_RANK:
+        return table_products(table, names, names)
     return gram_matrix(table.agg(F.expr(gram_sql(names)).alias("g")).first()["g"], len(names))
 
 

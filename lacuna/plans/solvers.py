@@ -11,10 +11,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 from lacuna.functions.vectors import columns, cross_matrix, cross_sql, gram_matrix, gram_sql
 from lacuna.operators.factors import (
-    Factor, relative_change, shrink_weights, soft_threshold, start_entries, thin_svd_from_gram,
+    UNROLLED_RANK, Factor, relative_change, select_vectors, shrink_weights, soft_threshold, start_entries,
+    table_products, thin_svd_from_gram,
 )
 from lacuna.operators.layout import OTHER, Layout
 from lacuna.operators.products import gram_sums, residual_sums
@@ -94,10 +96,7 @@ def half_step(layout: Layout, name: str, group: str, rank: int, multiply: Factor
     """
     other_side = OTHER[group]
     same = low is not None and multiply is low.other
-    other_columns = multiply.vectors("p" if same or low is None else "m")
-    if low is not None and not same:
-        other_columns += low.other.vectors("p")
-    other = multiply.table.selectExpr(other_side, *other_columns)
+    other = select_vectors({"p": multiply} if same or low is None else {"m": multiply, "p": low.other})
     own = None if low is None else low.own.times(np.diag(low.d)).select("q")
 
     sides_fit = layout.fits(other, other_side) or own is None or layout.fits(own, group)
@@ -121,25 +120,18 @@ def half_step(layout: Layout, name: str, group: str, rank: int, multiply: Factor
         dense = v = columns("q", rank)
     elif low is not None:
         dense, o, v = (columns(x, rank) for x in "tov")
-        extra = low.own.times(low.d[:, None] * low.small).vectors("t") + low.own.vectors("o") + previous.vectors("v")
-        sums = layout.attach_grouped(sums, low.own.table.selectExpr(group, *extra), group)
+        sums = layout.attach_grouped(sums, select_vectors(
+            {"t": low.own.times(low.d[:, None] * low.small), "o": low.own, "v": previous}), group)
     elif previous is not None:
         v = columns("v", rank)
         sums = layout.attach_grouped(sums, previous.select("v"), group)
     fresh = [f"{s[k]} + {dense[k]} AS {f[k]}" if dense else f"{s[k]} AS {f[k]}" for k in range(rank)]
 
-    metrics = {"gram": gram_sql(f)}
-    if v:
-        metrics["previous"] = cross_sql(f, v)
-    if o:
-        metrics["old"] = cross_sql(f, o)
-    table, seen = layout.scratch.write_observed(
-        sums.selectExpr(group, *fresh, *o, *v), name, [group, *f, *o], **metrics)
+    table, gram, products = _write_products(layout, sums.selectExpr(group, *fresh, *o, *v), name, [group, *f, *o], f,
+                                            {"previous": v, "old": o})
 
-    def cross(metric: str) -> np.ndarray:
-        if metric not in metrics:
-            return np.zeros((rank, rank))
-        return weights[:, None] * cross_matrix(seen[metric], rank, rank)
+    def cross(which: str) -> np.ndarray:
+        return weights[:, None] * products.get(which, np.zeros((rank, rank)))
 
     with_previous = cross("previous")
     if low is not None and low.small is None:
@@ -148,20 +140,39 @@ def half_step(layout: Layout, name: str, group: str, rank: int, multiply: Factor
     return Step(
         raw=Factor(table, group, "f", np.diag(weights)),
         old=Factor(table, group, "o", np.eye(rank)) if o else None,
-        gram=weights[:, None] * gram_matrix(seen["gram"], rank) * weights,
+        gram=weights[:, None] * gram * weights,
         with_previous=with_previous,
         with_old=cross("old"),
     )
 
 
+def _write_products(layout: Layout, df: DataFrame, name: str, keep: list[str], vectors: list[str],
+                    others: dict[str, list[str]]) -> tuple[DataFrame, np.ndarray, dict[str, np.ndarray]]:
+    """Write new vectors; their Gram matrix and their products with other columns.
+
+    At low rank these are aggregates of the writing job. Beyond, there would be too many of them,
+    and they are taken from the written table.
+    """
+    rank = len(vectors)
+    others = {which: names for which, names in others.items() if names}
+    if rank <= UNROLLED_RANK:
+        table, seen = layout.scratch.write_observed(
+            df, name, keep, gram=gram_sql(vectors), **{w: cross_sql(vectors, names) for w, names in others.items()})
+        return (table, gram_matrix(seen["gram"], rank),
+                {which: cross_matrix(seen[which], rank, rank) for which in others})
+    table = layout.scratch.write(df, name)
+    flat = table_products(table, vectors, vectors + [c for names in others.values() for c in names])
+    blocks = np.split(flat, 1 + len(others), axis=1)
+    return table.select(*keep), blocks[0], dict(zip(others, blocks[1:]))
+
+
 def start(layout: Layout, settings: Settings) -> tuple[Factor, np.ndarray, float]:
     """Orthonormal row vectors, unit singular values, no column vectors, and the shrinkage."""
     rank = settings.rank
     ids = layout.cells.select("row_id").distinct()
-    table, seen = layout.scratch.write_observed(
-        ids.selectExpr("row_id", *start_entries(settings.init, rank, settings.seed)), "start",
-        gram=gram_sql(columns("f", rank)))
-    _, _, over = thin_svd_from_gram(gram_matrix(seen["gram"], rank))
+    entries = ids.selectExpr("row_id", *start_entries(settings.init, rank, settings.seed))
+    table, gram, _ = _write_products(layout, entries, "start", entries.columns, columns("f", rank), {})
+    _, _, over = thin_svd_from_gram(gram)
     d = np.ones(rank)
     shrinkage = d[0] / DEFAULT_SHRINKAGE_DIVISOR if settings.shrinkage is None else settings.shrinkage
     return Factor(table, "row_id", "f", over), d, shrinkage

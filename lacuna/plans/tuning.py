@@ -78,7 +78,7 @@ def _cross_validate(estimator: Estimator, data: DataFrame, grid: dict[str, Seque
 def comparator(rank: int = 8, max_iter: int = 50, reg: float = 0.1, seed: int = 0) -> ALS:
     """Spark's own alternating least squares: plain ridge, no nuclear norm, no centers."""
     return ALS(rank=rank, maxIter=max_iter, regParam=reg, seed=seed, userCol="row_id", itemCol="col_id",
-               ratingCol="value", predictionCol="prediction", coldStartStrategy="drop")
+               ratingCol="value", coldStartStrategy="drop")
 
 
 def comparator_input(cells: DataFrame) -> DataFrame:
@@ -92,10 +92,12 @@ def comparator_input(cells: DataFrame) -> DataFrame:
 def comparator_fit(split: Split, rank: int = 8, max_iter: int = 50, reg: float = 0.1) -> tuple[DataFrame, float, float]:
     """Scored held-out cells, their error, and the training error of the comparator."""
     train, test = comparator_input(split.train), comparator_input(split.test)
-    model = comparator(rank, max_iter, reg).fit(train)
-    scored = model.transform(test)
-    errors = [metrics.mean_squared_error(x, "value", "prediction").first()["mse"]
-              for x in (scored, model.transform(train))]
+    mean = train.agg(F.avg("value")).first()[0]
+    model = comparator(rank, max_iter, reg).setColdStartStrategy("nan").fit(train)
+    # A cold row or column has no factor; it is scored by the mean rating instead of being dropped.
+    scored, fitted = (model.transform(x).withColumn("prediction", F.nanvl(F.col("prediction").cast("double"), F.lit(mean)))
+                      for x in (test, train))
+    errors = [metrics.mean_squared_error(x, "value", "prediction").first()["mse"] for x in (scored, fitted)]
     return scored, errors[0], errors[1] ** 0.5
 
 
