@@ -14,6 +14,7 @@ from lacuna.functions.vectors import (
 )
 
 RANK_TOLERANCE = 1e-7
+REFINE_BELOW = 1e-3
 NORM_FLOOR = 1e-9
 UNROLLED_RANK = 8
 
@@ -113,6 +114,27 @@ def thin_svd_from_gram(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return s, w, w * inverse
 
 
+def thin_svd(raw: Factor, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for ``raw`` with that Gram matrix, made accurate when its condition is poor.
+
+    The Gram matrix squares the condition number. If small singular values have lost digits, the
+    nearly orthonormal vectors are formed, and their own Gram matrix, one more aggregation, gives
+    the correction.
+    """
+    s, w, over = thin_svd_from_gram(gram)
+    live = s > 0
+    if not live.any() or s[live].min() > REFINE_BELOW * s[0]:
+        return s, w, over
+    near = replace(raw, matrix=raw.matrix @ over[:, live])
+    upper = np.linalg.cholesky(table_gram(near.select("z"), columns("z", int(live.sum())))).T
+    left, values, right = np.linalg.svd(upper @ (s[live, None] * w[:, live].T), full_matrices=False)
+    flip = np.where(np.take_along_axis(right, np.abs(right).argmax(axis=1)[:, None], 1) < 0, -1.0, 1.0)
+    s, w, over = s.copy(), w.copy(), over.copy()
+    s[live], w[:, live] = values, (right * flip).T
+    over[:, live] = over[:, live] @ np.linalg.solve(upper, left) * flip.T
+    return s, w, over
+
+
 def shrink_weights(d: np.ndarray, shrinkage: float) -> np.ndarray:
     """``d / (d + shrinkage)``, with 0 for a vanished component."""
     return np.divide(d, d + shrinkage, out=np.zeros_like(d), where=d + shrinkage > 0)
@@ -156,9 +178,9 @@ def array_gram(table: DataFrame, name: str, rank: int) -> DataFrame:
 def table_svd(table: DataFrame, key: str, name: str, rank: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Thin SVD of a factor table with an array column: orthonormal table, values, right vectors."""
     flat = table.selectExpr(key, *unpack(name, "f", rank))
-    s, w, over = thin_svd_from_gram(table_gram(flat, columns("f", rank)))
-    names = columns("o", rank)
-    ortho = Factor(flat, key, "f", over).select("o").selectExpr(key, pack(names, name))
+    raw = Factor(flat, key, "f", np.eye(rank))
+    s, w, over = thin_svd(raw, table_gram(flat, columns("f", rank)))
+    ortho = raw.times(over).select("o").selectExpr(key, pack(columns("o", rank), name))
     return ortho, s, w
 
 
@@ -197,9 +219,8 @@ def start_entries(init: str, rank: int, seed: int, key: str = "row_id") -> list[
 
 def orthonormal_start(ids: DataFrame, key: str, rank: int, init: str = "gaussian", seed: int = 0) -> Factor:
     """An orthonormal basis of the start entries, for the given ids."""
-    table = ids.selectExpr(key, *start_entries(init, rank, seed, key))
-    _, _, over = thin_svd_from_gram(table_gram(table, columns("f", rank)))
-    return Factor(table, key, "f", over)
+    raw = Factor(ids.selectExpr(key, *start_entries(init, rank, seed, key)), key, "f", np.eye(rank))
+    return raw.times(thin_svd(raw, table_gram(raw.table, columns("f", rank)))[2])
 
 
 def conformance(cells: DataFrame, row_factors: DataFrame, col_factors: DataFrame) -> DataFrame:

@@ -458,7 +458,7 @@ def init_factors(spark, folder):
 def _first_step(layout, u, d, lam):
     """Columns from rows, before any low-rank part exists; the same in both methods."""
     step = half_step(layout, "cols", "col_id", 1, u, None, None, factors.shrink_weights(d, lam))
-    d, w, over = factors.thin_svd_from_gram(step.gram)
+    d, w, over = factors.thin_svd(step.raw, step.gram)
     return step.raw.times(over), d, u.times(w)
 
 
@@ -475,7 +475,7 @@ def als_b_step(spark, folder):
     layout, u, d, lam = _started(spark, folder, "b_step")
     v, d, u = _first_step(layout, u, d, lam)
     step = half_step(layout, "rows", "row_id", 1, v, LowRank(v, d, u), u, factors.shrink_weights(d, lam))
-    d, _, over = factors.thin_svd_from_gram(step.gram)
+    d, _, over = factors.thin_svd(step.raw, step.gram)
     layout.release()
     return rounded(step.raw.times(over).select("u").withColumn("d", F.lit(float(d[0]))))
 
@@ -491,7 +491,7 @@ def _filled(spark, folder, label):
 def si_u_step(spark, folder):
     layout, u, v, d, lam = _filled(spark, folder, "u_step")
     step = half_step(layout, "cols", "col_id", 1, u, LowRank(u, d, v, np.eye(1)), v, factors.shrink_weights(d, lam))
-    d, _, over = factors.thin_svd_from_gram(step.gram)
+    d, _, over = factors.thin_svd(step.raw, step.gram)
     layout.release()
     return rounded(step.raw.times(over).select("v").withColumn("d", F.lit(float(d[0]))))
 
@@ -500,7 +500,7 @@ def si_u_step(spark, folder):
 def si_v_step(spark, folder):
     layout, u, v, d, lam = _filled(spark, folder, "v_step")
     step = half_step(layout, "rows", "row_id", 1, v, LowRank(v, d, u, np.eye(1)), u, factors.shrink_weights(d, lam))
-    d, _, over = factors.thin_svd_from_gram(step.gram)
+    d, _, over = factors.thin_svd(step.raw, step.gram)
     layout.release()
     return rounded(step.raw.times(over).select("u").withColumn("d", F.lit(float(d[0]))))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from lacuna.functions.vectors import columns, cross_matrix, cross_sql, gram_matrix, gram_sql
 from lacuna.operators.factors import (
     UNROLLED_RANK, Factor, relative_change, select_vectors, shrink_weights, soft_threshold, start_entries,
-    table_products, thin_svd_from_gram,
+    table_products, thin_svd,
 )
 from lacuna.operators.layout import OTHER, Layout
 from lacuna.operators.products import gram_sums, residual_sums
@@ -172,10 +172,11 @@ def start(layout: Layout, settings: Settings) -> tuple[Factor, np.ndarray, float
     ids = layout.cells.select("row_id").distinct()
     entries = ids.selectExpr("row_id", *start_entries(settings.init, rank, settings.seed))
     table, gram, _ = _write_products(layout, entries, "start", entries.columns, columns("f", rank), {})
-    _, _, over = thin_svd_from_gram(gram)
+    raw = Factor(table, "row_id", "f", np.eye(rank))
+    _, _, over = thin_svd(raw, gram)
     d = np.ones(rank)
     shrinkage = d[0] / DEFAULT_SHRINKAGE_DIVISOR if settings.shrinkage is None else settings.shrinkage
-    return Factor(table, "row_id", "f", over), d, shrinkage
+    return raw.times(over), d, shrinkage
 
 
 class _Tables:
@@ -211,12 +212,12 @@ def solve_als(layout: Layout, settings: Settings) -> Solution:
     for _ in range(settings.max_iters):
         d_old = d
         step = half("col_id", u, v, d, shrink_weights(d, lam))
-        d, w, over = thin_svd_from_gram(step.gram)
+        d, w, over = thin_svd(step.raw, step.gram)
         cross_v = over.T @ step.with_previous
         v, u, turned = step.raw.times(over), u.times(w), w
 
         step = half("row_id", v, u, d, shrink_weights(d, lam))
-        d, w, over = thin_svd_from_gram(step.gram)
+        d, w, over = thin_svd(step.raw, step.gram)
         cross_u = over.T @ step.with_previous @ turned.T
         u, v, cross_v = step.raw.times(over), v.times(w), w.T @ cross_v
 
@@ -226,7 +227,7 @@ def solve_als(layout: Layout, settings: Settings) -> Solution:
 
     if lam > 0:
         step = half("row_id", v, u, d, np.ones(rank))
-        d, w, over = thin_svd_from_gram(step.gram)
+        d, w, over = thin_svd(step.raw, step.gram)
         u, v = step.raw.times(over), v.times(w)
         d = soft_threshold(d, lam)
     solution.u, solution.d, solution.v = u, d, v
@@ -258,7 +259,7 @@ def solve_nested(layout: Layout, settings: Settings) -> Solution:
             nonlocal u, v, d, fill_u, fill_by_u, fill_by_v
             low = LowRank(fill_v, fill_d, fill_u, fill_by_v) if filled else None
             step = half("row_id", v, low, u, weights)
-            d, w, over = thin_svd_from_gram(step.gram)
+            d, w, over = thin_svd(step.raw, step.gram)
             u, v = step.raw.times(over), v.times(w)
             if filled:
                 fill_u, fill_by_u = step.old, step.with_old.T @ over
@@ -269,7 +270,7 @@ def solve_nested(layout: Layout, settings: Settings) -> Solution:
             d_old = d
             low = LowRank(fill_u, fill_d, fill_v, fill_by_u) if filled else None
             step = half("col_id", u, low, v, shrink_weights(d, lam))
-            d, _, over = thin_svd_from_gram(step.gram)
+            d, _, over = thin_svd(step.raw, step.gram)
             cross_v = over.T @ step.with_previous
             v = step.raw.times(over)
             if filled:
