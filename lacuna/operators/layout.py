@@ -25,6 +25,7 @@ BROADCAST_BYTES = 64 << 20
 CELLS_PER_PARTITION = 1_000_000
 CELLS_WORTH_A_TASK = 20_000
 MAX_PARTITIONS = 100_000
+WIDE_ROW_BYTES = 304
 MAX_HOT_KEYS = 100_000
 OTHER = {"row_id": "col_id", "col_id": "row_id"}
 
@@ -69,6 +70,10 @@ class Layout:
                 self.ids[key] = min(bound, self.nnz)
                 if self.nnz > self.hot_cells:
                     self._find_hot(key)
+        if max(self.ids.values()) * WIDE_ROW_BYTES > self.broadcast_bytes:
+            # Per-key tables may have to be shuffled to the cells. With fewer partitions than
+            # Spark's own shuffles use, the planner would rather shuffle the cells again.
+            self.partitions = max(self.partitions, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def _find_hot(self, key: str) -> None:
         counts = self.cells.groupBy(key).count()

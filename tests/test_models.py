@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import textbook
 from conftest import RATINGS
 from lacuna import CompletionModel, SoftImpute, SoftImputeALS
 from lacuna.operators import split
@@ -77,13 +78,23 @@ def test_several_settings_share_the_preparation(vignette):
         assert together[k].d == pytest.approx(estimator.fit(vignette, settings).d)
 
 
-def test_grid_search_prefers_the_smaller_error(planted):
+def test_grid_search_equals_dense_cross_validation(planted):
+    """Half of the observed cells is too little here: the strongest shrinkage has the smaller error."""
     cells = planted.filter("observed").selectExpr("row_id", "col_id", "truth AS value")
-    estimator = SoftImputeALS(max_iters=2, center=False, init="integer", max_rank=2)
+    estimator = SoftImputeALS(max_iters=3, center=False, init="integer", max_rank=2, convergence_threshold=0.0)
     found, scores = tuning.grid_search(estimator, cells, {"shrinkage_value": [0.02, 1000.0]}, folds=2, kind="hash")
-    by = {r["shrinkage_value"]: r["mse"] for r in scores.collect()}
-    assert by[0.02] < by[1000.0]
-    assert found.bestModel.scalars["shrinkage"] == 0.02
+    x = np.full((200, 100), np.nan)
+    for r in cells.collect():
+        x[r["row_id"], r["col_id"]] = r["value"]
+    fold = (np.arange(200)[:, None] * 7919 + np.arange(100) * 104729) % 2
+    for row in scores.collect():
+        errors = []
+        for k in (0, 1):
+            u, d, v = textbook.als(np.where(fold != k, x, np.nan), 2, row["shrinkage_value"], 3)
+            errors.append(np.nanmean(np.where(fold == k, x - (u * d) @ v.T, np.nan) ** 2))
+        assert row["mse"] == pytest.approx(np.mean(errors), rel=1e-9)
+    best = min(scores.collect(), key=lambda r: r["mse"])["shrinkage_value"]
+    assert found.bestModel.scalars["shrinkage"] == best == 1000.0
 
 
 def test_comparison_with_the_ridge_method(planted):

@@ -88,12 +88,12 @@ def test_support_clip_is_one_pass(spark):
 
 def test_leave_n_out_partitions_the_cells(skewed):
     cells = skewed.withColumn("value", F.col("value") - 1)
-    parts = split.leave_n_out(cells, 20, min_support=5)
+    parts = split.leave_n_out(cells, 20, min_support=2)
     train, test, everything = as_set(parts.train), as_set(parts.test), as_set(cells)
     assert len(test) == 20 and not train & test
     assert train | test == {c for c in everything if c[2] != 0 or c in test}
-    assert as_set(split.leave_n_out(cells, 20, 5).test) == test
-    assert as_set(split.leave_n_out(cells, 20, 5, seed=1).test) != test
+    assert as_set(split.leave_n_out(cells, 20, 2).test) == test
+    assert as_set(split.leave_n_out(cells, 20, 2, seed=1).test) != test
 
 
 def test_hot_rows_are_spread_and_results_stay(spark, skewed):
