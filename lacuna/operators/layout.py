@@ -62,9 +62,9 @@ class Layout:
         least = spark.sparkContext.defaultParallelism
         self.partitions = min(max(min(least, -(-self.nnz // CELLS_WORTH_A_TASK)),
                                   -(-self.nnz // self.cells_per_partition)), MAX_PARTITIONS)
-        # A key is hot above this many cells, so there are at most nnz / hot_cells of them: no
-        # more than MAX_HOT_KEYS by default, and their table is small enough to broadcast.
-        self.hot_cells = self.hot_cells or max(self.cells_per_partition // 4, -(-self.nnz // MAX_HOT_KEYS))
+        # A key is hot above this many cells, so there are fewer than nnz / hot_cells of them: never
+        # more than MAX_HOT_KEYS, and their table is always small enough to broadcast.
+        self.hot_cells = max(self.hot_cells or self.cells_per_partition // 4, -(-self.nnz // MAX_HOT_KEYS))
         for key, bound in (("row_id", self.n_rows), ("col_id", self.n_cols)):
             if key not in self.ids:
                 self.ids[key] = min(bound, self.nnz)
@@ -77,12 +77,12 @@ class Layout:
 
     def _find_hot(self, key: str) -> None:
         counts = self.cells.groupBy(key).count()
-        hot, seen = self.scratch.write_observed(
-            counts, f"counts_{key}", ids="count(*)", hot=f"count_if(count > {self.hot_cells})")
+        seen = counts.agg(F.count("*").alias("ids"), F.expr(f"count_if(count > {self.hot_cells})").alias("hot")).first()
         self.ids[key] = seen["ids"]
         if seen["hot"]:
-            self.hot[key] = hot.filter(F.col("count") > self.hot_cells).select(
+            hot = counts.filter(F.col("count") > self.hot_cells).select(
                 key, F.expr(f"cast(ceil(count / {self.hot_cells}) AS int)").alias("salts"))
+            self.hot[key] = self.scratch.write(hot, f"hot_{key}")
 
     def with_cells(self, cells: DataFrame) -> Layout:
         """The same keys with other values."""

@@ -200,6 +200,12 @@ class _Prepared:
     col_centers: DataFrame | None
     trace: list[tuple[int, float]]
 
+    def release(self) -> None:
+        """Free what only the fits needed; the assembled cells belong to the models."""
+        self.layout.release()
+        if self.row_centers is not None:
+            self.layout.scratch.drop("residuals")
+
 
 class _Completion(Estimator, _CompletionParams):
     """Fit pipeline shared by the methods; a subclass supplies ``_solve``."""
@@ -268,7 +274,7 @@ class _Completion(Estimator, _CompletionParams):
         try:
             return self._complete(prepared)
         finally:
-            prepared.layout.release()
+            prepared.release()
 
     def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]):
         """Models for several settings of the method on one assembled, centered and placed matrix."""
@@ -286,7 +292,7 @@ class _Completion(Estimator, _CompletionParams):
                 with lock:
                     left[0] -= 1
                     if not left[0]:
-                        prepared.layout.release()
+                        prepared.release()
 
         return _FitMultipleIterator(fit_one, len(paramMaps))
 

@@ -39,7 +39,7 @@ def cells_of(spark: SparkSession, folder: str, row: str = "customer", col: str =
 def event_cells(spark: SparkSession, folder: str) -> DataFrame:
     events = spark.read.parquet(f"{folder}/events.parquet").select("user_id", "event_type", "value")
     types = index.id_dictionary(events, "event_type")
-    return R.assemble(events.join(F.broadcast(types), "event_type").select(
+    return R.assemble(events.join(types, "event_type").select(
         F.col("user_id").alias("row_id"), F.col("id").alias("col_id"), "value"))
 
 
