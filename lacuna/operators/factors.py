@@ -13,9 +13,10 @@ from lacuna.functions.vectors import (
     array_scale, columns, cross_matrix, cross_sql, gram_matrix, gram_sql, pack, rotated, unpack,
 )
 
+# Floor of the change measure's denominator; limits of the Gram route.
+NORM_FLOOR = 1e-9
 RANK_TOLERANCE = 1e-7
 REFINE_BELOW = 1e-3
-NORM_FLOOR = 1e-9
 UNROLLED_RANK = 8
 
 

@@ -10,9 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.vectors import (
-    array_dot, columns, combine, cross_matrix, cross_sql, dot, pack, unpack,
-)
+from lacuna.functions.vectors import array_dot, columns, combine, dot, number, pack, unpack
+from lacuna.operators.factors import cross_gram
 from lacuna.operators.layout import OTHER, Attach, plain_attach
 
 
@@ -57,18 +56,11 @@ def gram_sums(cells: DataFrame, group: str, rank: int, other: DataFrame, own: Da
 def fitted_cells(cells: DataFrame, row_factors: DataFrame, col_factors: DataFrame, rank: int,
                  d: list[float] | None = None) -> DataFrame:
     """Low-rank value ``xhat`` at every observed cell (sampled dense-dense product)."""
-    left = "u"
     if d is not None:
         row_factors = row_factors.selectExpr(
-            "row_id", pack([f"u[{k}] * {float(w)!r}D" for k, w in enumerate(d)], "u"))
+            "row_id", pack([f"u[{k}] * {number(w)}" for k, w in enumerate(d)], "u"))
     return (cells.join(row_factors, "row_id").join(col_factors, "col_id")
-            .withColumn("xhat", array_dot(left, "v", rank)).drop("u", "v"))
-
-
-def small_cross(a: DataFrame, b: DataFrame, key: str, a_name: str, b_name: str, rank: int) -> np.ndarray:
-    joined = a.selectExpr(key, *unpack(a_name, "a", rank)).join(b.selectExpr(key, *unpack(b_name, "b", rank)), key)
-    flat = joined.agg(F.expr(cross_sql(columns("a", rank), columns("b", rank))).alias("c")).first()["c"]
-    return cross_matrix(flat, rank, rank)
+            .withColumn("xhat", array_dot("u", "v", rank)).drop("u", "v"))
 
 
 def _sparse_plus_low_rank(cells: DataFrame, group: str, low: DataFrame | None, low_name: str,
@@ -92,12 +84,12 @@ def right_multiply(cells: DataFrame, other: DataFrame, rank: int, a: DataFrame |
     ``other`` is ``(col_id, v)``, ``a`` is ``(row_id, a)``, ``b`` is ``(col_id, b)``; only the
     rank-by-rank matrix ``b^T V`` reaches the driver.
     """
-    small = None if a is None else small_cross(b, other, "col_id", "b", "v", rank)
+    small = None if a is None else cross_gram(b, other, "col_id", "b", "v", rank)
     return _sparse_plus_low_rank(cells, "row_id", a, "a", small, other, "v", "product", rank)
 
 
 def left_multiply(cells: DataFrame, other: DataFrame, rank: int, a: DataFrame | None = None,
                   b: DataFrame | None = None) -> DataFrame:
     """``(U^T (x + a b^T))^T`` per column: the sparse product plus ``b (a^T U)``."""
-    small = None if a is None else small_cross(a, other, "row_id", "a", "u", rank)
+    small = None if a is None else cross_gram(a, other, "row_id", "a", "u", rank)
     return _sparse_plus_low_rank(cells, "col_id", b, "b", small, other, "u", "product", rank)

@@ -15,8 +15,8 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.functions.vectors import array_dot, columns, pack
-from lacuna.operators import metrics, scaling, scoring, validate
+from lacuna.functions.vectors import columns, pack
+from lacuna.operators import metrics, products, scaling, scoring, validate
 from lacuna.operators.layout import BROADCAST_BYTES, CELLS_PER_PARTITION, Layout, table_bytes
 from lacuna.plans.solvers import Settings, Solution, solve_als, solve_nested
 from lacuna.session import Scratch
@@ -398,9 +398,7 @@ class CompletionModel(Model, _CompletionParams):
     def low_rank(self, pairs: DataFrame) -> DataFrame:
         """The low-rank part alone, in centered units, for pairs with known row and column."""
         d = self.scalars["d"]
-        weighted = F.expr("array(" + ", ".join(f"u[{k}] * {float(w)!r}D" for k, w in enumerate(d)) + ")")
-        return (pairs.join(self.row_factors, "row_id").join(self.col_factors, "col_id")
-                .withColumn("u", weighted).withColumn("xhat", array_dot("u", "v", len(d))).drop("u", "v"))
+        return products.fitted_cells(pairs, self.row_factors, self.col_factors, len(d), d)
 
     def save(self, path: str, overwrite: bool = False) -> None:
         settings = {p.name: self.getOrDefault(p) for p in self.params if self.isDefined(p)}

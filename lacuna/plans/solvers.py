@@ -21,6 +21,7 @@ from lacuna.operators.factors import (
 from lacuna.operators.layout import OTHER, Layout
 from lacuna.operators.products import gram_sums, residual_sums
 
+# Fixed value: the default penalty is the first start singular value, which is 1, over 50.
 DEFAULT_SHRINKAGE_DIVISOR = 50.0
 
 

@@ -19,8 +19,7 @@ def read_ratings_csv(spark: SparkSession, path: str, schema: T.StructType | None
                      row: str = "userId", col: str = "movieId", value: str = "rating") -> DataFrame:
     """Ratings from a CSV with a header. Columns beyond the three named ones are not kept.
 
-    With ``enforceSchema`` off Spark matches the schema to the header, so a file may hold more
-    columns only if ``schema`` lists them as well.
+    Spark applies ``schema`` by position, so it lists the columns in the order of the file.
     """
     raw = spark.read.schema(schema or CSV_SCHEMA).option("header", True).csv(path)
     return raw.select(

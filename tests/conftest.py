@@ -25,6 +25,7 @@ def unit_matrix(spark):
         [(0, 0, 4.0), (3, 3, -5.0), (1, 1, 7.0), (0, 2, -9.0), (4, 5, 2.0)], RATINGS)
 
 
+# The published 6 x 5 example, one entry per column (row ids, values).
 VIGNETTE = {
     0: ([0, 1, 2, 3, 4, 5], [0.86548894, -0.60041722, -0.71692924, 0.69655580, 1.23116102, 0.26644155]),
     1: ([0, 3, 4, 5], [0.01565179, -0.50331812, -0.34232368, 0.14486388]),
