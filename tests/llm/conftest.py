@@ -1,0 +1,14 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+@pytest.fixture(scope="session", autouse=True)
+def _package(spark):
+    from lacuna.llm.text import share_package
+
+    share_package(spark)
