@@ -55,15 +55,23 @@ class WordBPE:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank.setdefault(self.vocab[a] << 32 | self.vocab[b], r)
             self.made.append(self.vocab[a + b])
+        order = sorted(self.rank)
+        self.pairs = np.array(order, np.int64)
+        self.ranks = np.array([*[self.rank[k] for k in order], _NEVER], np.int64)
+        self.results = np.array(self.made, np.int64)
         letters = byte_alphabet()
         self.inner = [self.vocab.get(c) for c in letters]
         self.final = [self.vocab.get(c + self.end) for c in letters]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        for kind in ("L", "N"):  # characters newer than this Python's Unicode are neither letters nor digits
-            newer = "".join(c for c in regex.findall(rf"\p{{{kind}}}", _every_character()) if unicodedata.category(c) == "Cn")
-            if newer:
-                pattern = pattern.replace(f"\\p{{{kind}}}", f"[\\p{{{kind}}}--[{newer}]]")
-        self.find = regex.compile(pattern, regex.V1).findall
+        self.plain = regex.compile(pattern).findall
+        # Characters newer than this Python's Unicode are neither letters nor digits.
+        newer = {kind: "".join(c for c in regex.findall(rf"\p{{{kind}}}", _every_character())
+                               if unicodedata.category(c) == "Cn") for kind in "LN"}
+        self.newer = frozenset("".join(newer.values()))
+        for kind, some in newer.items():
+            if some:
+                pattern = pattern.replace(f"\\p{{{kind}}}", f"[\\p{{{kind}}}--[{some}]]")
+        self.strict = regex.compile(pattern, regex.V1).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -95,6 +103,55 @@ class WordBPE:
                 ranks[k - 1] = look(parts[k - 1] << 32 | new, _NEVER)
         return parts
 
+    def _look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(self.pairs):
+            return np.full(left.shape, _NEVER)
+        keys = left << 32 | right
+        at = np.searchsorted(self.pairs, keys)
+        at[at == len(self.pairs)] = 0
+        return self.ranks[np.where(self.pairs[at] == keys, at, len(self.pairs))]
+
+    def merge_many(self, words: list[str]) -> dict[str, list[int]]:
+        """``merge`` for many words: one array of parts and one of ranks for all words of a length.
+
+        Every pass merges one pair in each word that has one left, so the words still in work all have as many parts.
+        """
+        out, by_length = {}, {}
+        for word in words:
+            raw = word.encode("utf-8", "surrogatepass")
+            by_length.setdefault(len(raw), []).append((word, raw))
+        inner, final = (np.array([-1 if i is None else i for i in x], np.int64) for x in (self.inner, self.final))
+        for n, some in by_length.items():
+            if n > 64 or min(inner.min(), final.min()) < 0:
+                out.update((w, self.merge(w)) for w, _ in some)
+                continue
+            raw = np.frombuffer(b"".join([r for _, r in some]), np.uint8).reshape(-1, n)
+            parts = inner[raw]
+            parts[:, -1] = final[raw[:, -1]]
+            ranks, names = self._look(parts[:, :-1], parts[:, 1:]), np.arange(len(some))
+            while True:
+                width = ranks.shape[1]
+                k = ranks.argmin(axis=1) if width else np.zeros(len(names), np.int64)
+                rows = np.arange(len(names))
+                live = ranks[rows, k] < _NEVER if width else np.zeros(len(names), bool)
+                for name, ids in zip(names[~live].tolist(), parts[~live].tolist()):
+                    out[some[name][0]] = ids
+                if not live.any():
+                    break
+                names, parts, ranks, k = names[live], parts[live], ranks[live], k[live]
+                rows = np.arange(len(names))
+                parts[rows, k] = self.results[ranks[rows, k]]
+                keep = np.ones(parts.shape, bool)
+                keep[rows, k + 1] = False
+                parts = parts[keep].reshape(len(names), width)
+                keep = np.ones(ranks.shape, bool)
+                keep[rows, k] = False
+                ranks = ranks[keep].reshape(len(names), width - 1)
+                for at, some_rows in ((k, np.flatnonzero(k < width - 1)), (k - 1, np.flatnonzero(k > 0))):
+                    c = at[some_rows]
+                    ranks[some_rows, c] = self._look(parts[some_rows, c], parts[some_rows, c + 1])
+        return out
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same merges for a word too long to scan again after each: the ranks wait in a heap."""
         n, look = len(ids), self.rank.get
@@ -120,37 +177,51 @@ class WordBPE:
             push(i)
         return [ids[i] for i in range(n) if alive[i]]
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece of text without white space. Pieces are remembered in two generations."""
-        out = self.older.get(piece)
-        if out is None:
-            out = array("i", [i for word in self.find(piece) for i in self.merge(word)]).tobytes()
-        if len(piece) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.older, self.known = self.known, {}
-            self.known[piece] = out
-        return out
-
-    def _plain(self, text: str) -> list[bytes]:
+    def _clean(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         # A capital sigma is lower-cased without regard to its place in the word.
-        text = text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
-        get, piece = self.known.get, self._piece
-        # No word holds white space, so pieces between it are independent; U+001C to U+001F are none here.
-        pieces = text.split() if _SEPARATORS.isdisjoint(text) else regex.findall(r"\S+", text)
-        return [get(w) or piece(w) for w in pieces]
+        return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
+
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces between white space; no word holds any. U+001C to U+001F are none here."""
+        return text.split() if _SEPARATORS.isdisjoint(text) else regex.findall(r"\S+", text)
+
+    def find(self, piece: str) -> list[str]:
+        """The words of a piece. A piece of letters is one, and so is what stands before a last mark."""
+        if piece.isalpha():
+            return [piece]
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return (self.plain if piece.isascii() or self.newer.isdisjoint(piece) else self.strict)(piece)
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces; the words of those not seen before are merged together."""
+        if len(self.known) + len(pieces) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        old = [p for p in pieces if p in self.older]
+        for p in old:
+            self.known[p] = self.older[p]
+        new = [(p, self.find(p)) for p in pieces if p not in self.known]
+        merged = self.merge_many(list({w for _, words in new for w in words}))
+        for p, words in new:
+            self.known[p] = array("i", [i for w in words for i in merged[w]]).tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers.
+
+        Pieces are remembered in two generations of ``REMEMBERED``; only those that this call needs are sure to be there.
+        """
+        plans = []
+        for text in texts:
+            parts = self.cut(text) if text and self.cut and "<|" in text else [text or ""]
+            plans.append([self.special[x] if k % 2 else self._pieces(self._clean(x)) for k, x in enumerate(parts)])
+        self.learn({p for plan in plans for part in plan if isinstance(part, list) for p in part})
+        get = self.known.__getitem__
+        return [b"".join([b"".join(map(get, x)) if isinstance(x, list) else np.int32(x).tobytes() for x in plan]) for plan in plans]
 
     def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if self.cut is None or "<|" not in text:
-            return b"".join(self._plain(text))
-        parts = []
-        for k, piece in enumerate(self.cut(text)):
-            parts += [np.int32(self.special[piece]).tobytes()] if k % 2 else self._plain(piece)
-        return b"".join(parts)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by spaces, special ones included; unknown ids are left out."""
@@ -192,7 +263,7 @@ def encode(docs: DataFrame, source: str, text_col: str = "text", out_col: str =
             texts = part.column(at).cast(pa.string())
             sizes = texts.to_pylist()
             for begin, stop in groups([t or "" for t in sizes]):
-                codes = [model.encode(t) for t in sizes[begin:stop]]
+                codes = model.encode_all(sizes[begin:stop])
                 offsets = np.cumsum([0, *[len(c) // 4 for c in codes]]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(codes), np.int32)))
                 some = part.slice(begin, stop - begin)
