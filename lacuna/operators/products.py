@@ -59,8 +59,9 @@ def fitted_cells(cells: DataFrame, row_factors: DataFrame, col_factors: DataFram
     if d is not None:
         row_factors = row_factors.selectExpr(
             "row_id", pack([f"u[{k}] * {number(w)}" for k, w in enumerate(d)], "u"))
-    return (cells.join(row_factors, "row_id").join(col_factors, "col_id")
-            .withColumn("xhat", array_dot("u", "v", rank)).drop("u", "v"))
+    # A row or column without a vector counts as a zero vector; its cells stay.
+    return (cells.join(row_factors, "row_id", "left").join(col_factors, "col_id", "left")
+            .withColumn("xhat", F.coalesce(array_dot("u", "v", rank), F.lit(0.0))).drop("u", "v"))
 
 
 def _sparse_plus_low_rank(cells: DataFrame, group: str, low: DataFrame | None, low_name: str,

@@ -51,11 +51,11 @@ def residual_cells(cells: DataFrame, row_centers: DataFrame | None, col_centers:
     return cells.select("row_id", "col_id", F.expr(value).alias("value"))
 
 
-def back_transform(name: str = "prediction") -> Column:
+def back_transform(name: str = "prediction", prefix: str = "") -> Column:
     """A value in centered units, mapped back to rating units; absent stats mean center 0, scale 1."""
     return F.expr(
-        f"{name} * coalesce(row_scale, 1D) * coalesce(col_scale, 1D)"
-        " + coalesce(row_center, 0D) + coalesce(col_center, 0D)")
+        f"{name} * coalesce({prefix}row_scale, 1D) * coalesce({prefix}col_scale, 1D)"
+        f" + coalesce({prefix}row_center, 0D) + coalesce({prefix}col_center, 0D)")
 
 
 def stats_table(centers: DataFrame, key: str) -> DataFrame:

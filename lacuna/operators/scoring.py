@@ -28,30 +28,39 @@ def pairs_from_arrays(requests: DataFrame, row_ids: str = "row_ids", col_ids: st
 def score_pairs(pairs: DataFrame, rows: DataFrame, cols: DataFrame, d: Sequence[float],
                 n_rows: int, n_cols: int, observed: DataFrame | None = None, strict: bool = False,
                 min_value: float | None = None, max_value: float | None = None,
-                small_rows: bool = False, small_cols: bool = False) -> DataFrame:
+                small_rows: bool = False, small_cols: bool = False, few: bool = False) -> DataFrame:
     """Adds ``prediction`` and ``source`` to every pair.
 
     ``rows`` is ``(row_id, center, scale, u)`` and ``cols`` is ``(col_id, center, scale, v)``. A pair
     found in ``observed`` gets its stored rating; any other pair inside the shape gets the low-rank
     value, where a row or column without a vector counts as zero; both in rating units. The plan is
     lazy. ``small_rows`` and ``small_cols`` say that the caller has checked the table's size for a
-    broadcast; otherwise the optimizer plans shuffles and splits skewed pairs at run time.
+    broadcast; otherwise the optimizer plans shuffles and splits skewed pairs at run time. ``few`` says the
+    same of the pairs: then the observed cells are not shuffled but filtered by the pairs' keys.
     """
     def side(table: DataFrame, key: str, name: str, vector: str, small: bool) -> DataFrame:
-        out = table.select(key, F.col("center").alias(f"{name}_center"), F.col("scale").alias(f"{name}_scale"), vector)
+        out = table.select(F.col(key).alias(f"_{key}"), F.col("center").alias(f"_{name}_center"),
+                           F.col("scale").alias(f"_{name}_scale"), F.col(vector).alias(f"_{vector}"))
         return F.broadcast(out) if small else out
 
     rank = len(d)
-    joined = pairs.join(side(cols, "col_id", "col", "v", small_cols), "col_id", "left").join(
-        side(rows, "row_id", "row", "u", small_rows), "row_id", "left")
+    sides = (side(cols, "col_id", "col", "v", small_cols), side(rows, "row_id", "row", "u", small_rows))
+    joined = pairs
+    for key, table in zip(("col_id", "row_id"), sides):
+        joined = joined.join(table, F.col(key) == F.col(f"_{key}"), "left")
     if observed is not None:
-        joined = joined.join(observed.select(*KEYS, F.col("value").alias("stored")), KEYS, "left")
+        stored = observed.select(F.col("row_id").alias("_at_row"), F.col("col_id").alias("_at_col"),
+                                 F.col("value").alias("_stored"))
+        if few:  # the cells are filtered where they lie; only the ones asked for go on
+            asked = pairs.select(F.col("row_id").alias("_at_row"), F.col("col_id").alias("_at_col")).distinct()
+            stored = F.broadcast(stored.join(F.broadcast(asked), ["_at_row", "_at_col"], "left_semi"))
+        joined = joined.join(stored, (F.col("row_id") == F.col("_at_row")) & (F.col("col_id") == F.col("_at_col")), "left")
     else:
-        joined = joined.withColumn("stored", F.lit(None).cast("double"))
+        joined = joined.withColumn("_stored", F.lit(None).cast("double"))
 
-    low_rank = dot([f"u[{k}] * {number(w)}" for k, w in enumerate(d)], [f"v[{k}]" for k in range(rank)])
-    joined = joined.withColumn("low_rank", F.expr(f"coalesce({low_rank}, 0D)"))
-    estimate = back_transform("low_rank")
+    low_rank = dot([f"_u[{k}] * {number(w)}" for k, w in enumerate(d)], [f"_v[{k}]" for k in range(rank)])
+    joined = joined.withColumn("_low_rank", F.expr(f"coalesce({low_rank}, 0D)"))
+    estimate = back_transform("_low_rank", prefix="_")
     if min_value is not None:
         estimate = F.greatest(estimate, F.lit(float(min_value)))
     if max_value is not None:
@@ -63,6 +72,6 @@ def score_pairs(pairs: DataFrame, rows: DataFrame, cols: DataFrame, d: Sequence[
     keep = [c for c in pairs.columns if c not in ("prediction", "source")]
     return joined.select(
         *keep,
-        F.when(status != "ok", refused).otherwise(F.coalesce("stored", estimate)).alias("prediction"),
-        F.when(status != "ok", "out_of_range").when(F.col("stored").isNotNull(), "observed")
+        F.when(status != "ok", refused).otherwise(F.coalesce("_stored", estimate)).alias("prediction"),
+        F.when(status != "ok", "out_of_range").when(F.col("_stored").isNotNull(), "observed")
         .otherwise("model").alias("source"))

@@ -7,9 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.operators.sampling import TOP_K_LIMIT, exact_sample
+from lacuna.operators.sampling import exact_sample
+from lacuna.session import Scratch
 from lacuna.sources.ratings import KEYS, drop_zeros
 
+#: So many held-out keys (16 bytes each) are sent to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
 
 def support_filter(cells: DataFrame, key: str, minimum: int) -> DataFrame:
     """Cells whose row (or column) holds at least ``minimum`` cells."""
@@ -35,8 +39,11 @@ def leave_n_out(cells: DataFrame, n_holdout: int, min_support: int | None = None
     zeros are removed from the training side.
     """
     minimum = n_holdout if min_support is None else min_support
-    test = exact_sample(support_clip(cells, minimum), n_holdout, seed).select(*KEYS, "value")
+    scratch = Scratch(cells.sparkSession, "split")
+    # The cells and the held-out ones are written once: both sides of the split read them, several times.
+    cells = scratch.write(cells.select(*KEYS, "value"), "cells")
+    test = scratch.write(exact_sample(support_clip(cells, minimum), n_holdout, seed).select(*KEYS, "value"), "test")
     held = test.select(*KEYS)
-    if n_holdout <= TOP_K_LIMIT:
+    if n_holdout <= BROADCAST_ROWS:
         held = F.broadcast(held)
     return Split(drop_zeros(cells.join(held, KEYS, "left_anti")).select(*KEYS, "value"), test)

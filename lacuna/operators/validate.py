@@ -20,6 +20,18 @@ def check_ratings(df: DataFrame, row: str = "row_id", col: str = "col_id", value
         raise ValueError(f"Column {value} must be numeric, got {fields[value].simpleString()}")
 
 
+def defect(row: str = "row_id", col: str = "col_id", value: str = "value") -> Column:
+    """Whether a rating cannot be a cell: a null id, a null value or NaN."""
+    return F.col(row).isNull() | F.col(col).isNull() | F.col(value).isNull() | F.isnan(value)
+
+
+def defect_counts(df: DataFrame, row: str = "row_id", col: str = "col_id", value: str = "value") -> DataFrame:
+    """One row: rows in all, and those with a null id, a null value, NaN, or any of these."""
+    return df.agg(F.count("*").alias("n_rows"), F.count_if(F.col(row).isNull() | F.col(col).isNull()).alias("null_ids"),
+                  F.count_if(F.col(value).isNull()).alias("null_values"),
+                  F.count_if(F.isnan(value)).alias("nan_values"), F.count_if(defect(row, col, value)).alias("defects"))
+
+
 def check_mask(n_rows: int, n_cols: int, nnz: int) -> None:
     """There must be something to learn from and something to complete."""
     if nnz == 0:

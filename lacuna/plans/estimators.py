@@ -12,7 +12,7 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.base import _FitMultipleIterator
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.vectors import columns, pack
@@ -52,12 +52,14 @@ class _InputParams(Params):
     zeros = _param("zeros", "explicit zeros are 'observed' cells, or 'drop' them", _choice("observed", "drop"))
     broadcast_bytes = _param("broadcast_bytes", "largest per-key table to broadcast", TypeConverters.toInt)
     cells_per_partition = _param("cells_per_partition", "target partition size of the cells", TypeConverters.toInt)
+    nulls = _param("nulls", "rows with a null id, a null value or NaN are an 'error', or 'drop' leaves them out",
+                   _choice("error", "drop"))
     hot_cells = _param("hot_cells", "cells above which a key is spread over salts", _optional(TypeConverters.toInt))
 
     def __init__(self) -> None:
         super().__init__()
         self._setDefault(row_col="row_id", col_col="col_id", value_col="value", n_rows=None, n_cols=None,
-                         zeros="observed", broadcast_bytes=BROADCAST_BYTES,
+                         zeros="observed", nulls="error", broadcast_bytes=BROADCAST_BYTES,
                          cells_per_partition=CELLS_PER_PARTITION, hot_cells=None)
 
     def _value(self, name: str):
@@ -67,14 +69,21 @@ class _InputParams(Params):
         """Check, assemble and write the cells once, and learn their shape in the same job."""
         names = [self._value(c) for c in ("row_col", "col_col", "value_col")]
         validate.check_ratings(dataset, *names)
-        cells = assemble(dataset.select(
+        triples = dataset.select(
             F.col(names[0]).cast("bigint").alias("row_id"), F.col(names[1]).cast("bigint").alias("col_id"),
-            F.col(names[2]).cast("double").alias("value")).dropna())
+            F.col(names[2]).cast("double").alias("value"))
+        # Defects are counted by the job that assembles the cells, before it drops them.
+        defects = Observation()
+        triples = triples.observe(defects, F.count_if(validate.defect()).alias("defects")).where(~validate.defect())
+        cells = assemble(triples)
         if self._value("zeros") == "drop":
             cells = drop_zeros(cells)
         cells, seen = scratch.write_observed(
             cells, "cells", nnz="count(*)", last_row="max(row_id)", last_col="max(col_id)",
             first="least(min(row_id), min(col_id))")
+        lost = defects.get["defects"]
+        if lost and self._value("nulls") == "error":
+            raise ValueError(f"{lost} rows have a null id, a null value or NaN; nulls='drop' leaves them out")
         if not seen.get("nnz"):
             raise ValueError("The matrix has no observed cell")
         if seen["first"] < 0:
@@ -100,7 +109,7 @@ class BiScale(Estimator, _InputParams):
     @keyword_only
     def __init__(self, *, max_iter=20, threshold=1e-9, row_center=True, col_center=True, row_scale=False,
                  col_scale=False, row_col="row_id", col_col="col_id", value_col="value", n_rows=None, n_cols=None,
-                 zeros="observed", broadcast_bytes=BROADCAST_BYTES, cells_per_partition=CELLS_PER_PARTITION,
+                 zeros="observed", nulls="error", broadcast_bytes=BROADCAST_BYTES, cells_per_partition=CELLS_PER_PARTITION,
                  hot_cells=None):
         super().__init__()
         given = dict(self._input_kwargs)
@@ -215,7 +224,7 @@ class _Completion(Estimator, _CompletionParams):
                  max_inner_iters=None, center=True, center_max_iter=20, center_threshold=1e-9, init="gaussian",
                  seed=0, criterion="trace", form="auto", observed="passthrough", strict=False, min_value=None,
                  max_value=None, row_col="row_id", col_col="col_id", value_col="value", n_rows=None, n_cols=None,
-                 zeros="observed", broadcast_bytes=BROADCAST_BYTES, cells_per_partition=CELLS_PER_PARTITION,
+                 zeros="observed", nulls="error", broadcast_bytes=BROADCAST_BYTES, cells_per_partition=CELLS_PER_PARTITION,
                  hot_cells=None):
         super().__init__()
         self._set(**self._input_kwargs)
@@ -348,12 +357,12 @@ class CompletionModel(Model, _CompletionParams):
     def _value(self, name: str):
         return self.getOrDefault(self.getParam(name))
 
-    def _score(self, pairs: DataFrame, observed: str, strict: bool) -> DataFrame:
+    def _score(self, pairs: DataFrame, observed: str, strict: bool, few: bool = False) -> DataFrame:
         return scoring.score_pairs(
             pairs, self.rows, self.cols, self.scalars["d"], self.scalars["n_rows"], self.scalars["n_cols"],
             self.cells if observed == "passthrough" else None, strict,
             self._value("min_value"), self._value("max_value"),
-            self._small(self.rows, self.scalars["row_ids"]), self._small(self.cols, self.scalars["col_ids"]))
+            self._small(self.rows, self.scalars["row_ids"]), self._small(self.cols, self.scalars["col_ids"]), few)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         names = {self._value("row_col"): "row_id", self._value("col_col"): "col_id"}
@@ -366,22 +375,23 @@ class CompletionModel(Model, _CompletionParams):
         """Scores for a list of pairs held by the caller; use ``transform`` for a DataFrame."""
         single = isinstance(row_ids, Integral) and isinstance(col_ids, Integral)
         if not single and (isinstance(row_ids, Integral) or isinstance(col_ids, Integral)):
-            raise ValueError("Length of row list and column list must match")
+            raise ValueError("a single id and a list of ids do not make pairs")
         rows, cols = ([row_ids], [col_ids]) if single else (list(row_ids), list(col_ids))
         if len(rows) != len(cols):
-            raise ValueError("Length of row list and column list must match")
+            raise ValueError(f"{len(rows)} rows and {len(cols)} columns do not make pairs")
         if not all(isinstance(x, Integral) for x in (*rows, *cols)):
-            raise ValueError("Input row_ids and col_ids must be integers.")
+            raise ValueError("ids are whole numbers")
         for row, col in zip(rows, cols):
             if not 0 <= col < self.scalars["n_cols"]:
-                raise ValueError(f"Column index {col} is out of range")
+                raise ValueError(f"no column {col} in {self.scalars['n_cols']} columns")
             if not 0 <= row < self.scalars["n_rows"]:
-                raise ValueError(f"Row index {row} is out of range")
+                raise ValueError(f"no row {row} in {self.scalars['n_rows']} rows")
         if not rows:
             return np.empty(0)
         data = [(pos, int(r), int(c)) for pos, (r, c) in enumerate(zip(rows, cols))]
         pairs = self.rows.sparkSession.createDataFrame(data, "pos bigint, row_id bigint, col_id bigint")
-        scored = self._score(pairs, self._value("observed"), False).orderBy("pos").collect()
+        few = 16 * len(data) <= self._value("broadcast_bytes")
+        scored = self._score(pairs, self._value("observed"), False, few).orderBy("pos").collect()
         out = np.array([r["prediction"] for r in scored])
         return float(out[0]) if single else out
 

@@ -342,6 +342,12 @@ def oracles() -> dict[str, str]:
             "JOIN fu USING (row_id) JOIN fv USING (col_id) JOIN a1 USING (row_id) JOIN b1 USING (col_id)")),
 
         "ratings_sample": sql(CP, smallest_hash("s", "cells", 5000, 2), select="SELECT * FROM s"),
+        "input_defects": (
+            "WITH raw AS (SELECT nullif(l_suppkey, 7) AS r, nullif(l_partkey, 11) AS c, CASE WHEN l_quantity = 13 THEN NULL "
+            "WHEN l_quantity = 17 THEN 'NaN'::DOUBLE ELSE l_quantity::DOUBLE END AS v FROM lineitem) "
+            "SELECT count(*) AS n_rows, count(*) FILTER (r IS NULL OR c IS NULL) AS null_ids, "
+            "count(*) FILTER (v IS NULL) AS null_values, count(*) FILTER (isnan(v)) AS nan_values, "
+            "count(*) FILTER (r IS NULL OR c IS NULL OR v IS NULL OR isnan(v)) AS defects FROM raw"),
         "support_rows": sql(*CLIP[:2], select="SELECT * FROM r"),
         "support_clip": sql(*CLIP, select="SELECT * FROM clip"),
         "lno_test": sql(*SPLIT, select="SELECT * FROM test"),

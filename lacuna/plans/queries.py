@@ -178,6 +178,19 @@ def ratings_sample(spark, folder):
     return sampling.exact_sample(cells_of(spark, folder), 5000, 2)
 
 
+def planted_defects(spark, folder):
+    """Ratings of the sales tables, some with a null id, a null value or NaN."""
+    raw = R.sales_ratings(spark, folder, "supplier", "part")
+    return raw.select(
+        F.expr("nullif(row_id, 7)").alias("row_id"), F.expr("nullif(col_id, 11)").alias("col_id"),
+        F.expr("CASE WHEN value = 13 THEN NULL WHEN value = 17 THEN double('NaN') ELSE double(value) END").alias("value"))
+
+
+@query
+def input_defects(spark, folder):
+    return validate.defect_counts(planted_defects(spark, folder))
+
+
 @query
 def support_rows(spark, folder):
     return split.support_filter(cells_of(spark, folder), "row_id", SUPPORT).select(*R.KEYS, "value")
@@ -585,7 +598,7 @@ def mllib_als_baseline(spark, folder):
 
 @query
 def mllib_als_grid(spark, folder):
-    return tuning.comparator_grid(cells_of(spark, folder), max_iter=3)[1]
+    return tuning.comparator_grid(cells_of(spark, folder))[1]
 
 
 @query

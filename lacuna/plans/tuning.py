@@ -5,9 +5,9 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.recommendation import ALS
+from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,8 @@ def load_and_split(triples: DataFrame, sample: int, leave_n: int = 3, seed: int
 def fit_and_score(estimator: SoftImputeALS, split: Split) -> tuple[CompletionModel, DataFrame, float, float]:
     """Model, scored held-out cells, their error, and the training error."""
     model = estimator.fit(split.train)
-    scored = model.transform(split.test)
+    # Held-out cells are no training cells, so none has a stored value to look up.
+    scored = model.transform(split.test, {model.getParam("observed"): "model"})
     mse = metrics.mean_squared_error(scored, "value", "prediction").first()["mse"]
     return model, scored, mse, model.train_rmse()
 
@@ -55,8 +56,13 @@ def grid_search(estimator: Estimator, cells: DataFrame, grid: dict[str, Sequence
     scored by its centers and not refused. The grid points of a fold share one centered matrix.
     """
     n_rows, n_cols = shape_of(cells)
-    estimator = estimator.copy({estimator.getParam("n_rows"): n_rows, estimator.getParam("n_cols"): n_cols})
-    return _cross_validate(estimator, with_folds(cells, folds, kind), grid, folds, parallelism)
+    shown = estimator.getOrDefault("observed")
+    # The cells of a fold are not in its training part, so there is no stored value to look up.
+    estimator = estimator.copy({estimator.getParam("n_rows"): n_rows, estimator.getParam("n_cols"): n_cols,
+                                estimator.getParam("observed"): "model"})
+    found, scores = _cross_validate(estimator, with_folds(cells, folds, kind), grid, folds, parallelism)
+    found.bestModel.set(found.bestModel.getParam("observed"), shown)
+    return found, scores
 
 
 def _cross_validate(estimator: Estimator, data: DataFrame, grid: dict[str, Sequence], folds: int,
@@ -75,10 +81,31 @@ def _cross_validate(estimator: Estimator, data: DataFrame, grid: dict[str, Seque
     return found, data.sparkSession.createDataFrame(rows, schema)
 
 
-def comparator(rank: int = 8, max_iter: int = 50, reg: float = 0.1, seed: int = 0) -> ALS:
-    """Spark's own alternating least squares: plain ridge, no nuclear norm, no centers."""
-    return ALS(rank=rank, maxIter=max_iter, regParam=reg, seed=seed, userCol="row_id", itemCol="col_id",
-               ratingCol="value", coldStartStrategy="drop")
+class MeanFilledALS(ALS):
+    """Spark's own alternating least squares; a pair without a factor is scored by the mean rating, not dropped."""
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        mean = dataset.agg(F.avg(self.getRatingCol())).first()[0]
+        return MeanFilledModel(super()._fit(dataset), mean)
+
+
+class MeanFilledModel(Model):
+    def __init__(self, model: ALSModel, mean: float):
+        super().__init__()
+        self.model, self.mean = model, mean
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        name = self.model.getPredictionCol()
+        return self.model.transform(dataset).withColumn(name, F.nanvl(F.col(name).cast("double"), F.lit(self.mean)))
+
+    def copy(self, extra=None) -> MeanFilledModel:
+        return MeanFilledModel(self.model.copy(extra), self.mean)
+
+
+def comparator(rank: int = 8, max_iter: int = 50, reg: float = 0.1, seed: int = 0) -> MeanFilledALS:
+    """Plain ridge, no nuclear norm, no centers."""
+    return MeanFilledALS(rank=rank, maxIter=max_iter, regParam=reg, seed=seed, userCol="row_id", itemCol="col_id",
+               ratingCol="value", coldStartStrategy="nan")
 
 
 def comparator_input(cells: DataFrame) -> DataFrame:
@@ -92,18 +119,17 @@ def comparator_input(cells: DataFrame) -> DataFrame:
 def comparator_fit(split: Split, rank: int = 8, max_iter: int = 50, reg: float = 0.1) -> tuple[DataFrame, float, float]:
     """Scored held-out cells, their error, and the training error of the comparator."""
     train, test = comparator_input(split.train), comparator_input(split.test)
-    mean = train.agg(F.avg("value")).first()[0]
-    model = comparator(rank, max_iter, reg).setColdStartStrategy("nan").fit(train)
-    # A cold row or column has no factor; it is scored by the mean rating instead of being dropped.
-    scored, fitted = (model.transform(x).withColumn("prediction", F.nanvl(F.col("prediction").cast("double"), F.lit(mean)))
-                      for x in (test, train))
+    model = comparator(rank, max_iter, reg).fit(train)
+    scored, fitted = model.transform(test), model.transform(train)
     errors = [metrics.mean_squared_error(x, "value", "prediction").first()["mse"] for x in (scored, fitted)]
     return scored, errors[0], errors[1] ** 0.5
 
 
 def comparator_grid(cells: DataFrame, ranks: Sequence[int] = (10, 20), regs: Sequence[float] = (0.02, 10.0),
-                    max_iter: int = 10, folds: int = 3, parallelism: int = 4) -> tuple[CrossValidatorModel, DataFrame]:
-    data = comparator_input(with_folds(cells, folds, "hash"))
+                    max_iter: int = 10, folds: int = 3, parallelism: int = 4,
+                    kind: str = "contiguous") -> tuple[CrossValidatorModel, DataFrame]:
+    """The comparator's grid on the same folds as ``grid_search``, scored on every held-out cell."""
+    data = comparator_input(with_folds(cells, folds, kind))
     return _cross_validate(comparator(max_iter=max_iter), data, {"rank": ranks, "regParam": regs}, folds, parallelism)
 
 

@@ -19,9 +19,10 @@ def read_ratings_csv(spark: SparkSession, path: str, schema: T.StructType | None
                      row: str = "userId", col: str = "movieId", value: str = "rating") -> DataFrame:
     """Ratings from a CSV with a header. Columns beyond the three named ones are not kept.
 
-    Spark applies ``schema`` by position, so it lists the columns in the order of the file.
+    Spark applies ``schema`` by position, so it lists the columns in the order of the file. A line
+    that does not fit it is an error, not a null.
     """
-    raw = spark.read.schema(schema or CSV_SCHEMA).option("header", True).csv(path)
+    raw = spark.read.schema(schema or CSV_SCHEMA).option("header", True).option("mode", "FAILFAST").csv(path)
     return raw.select(
         F.col(row).cast("bigint").alias("row_id"),
         F.col(col).cast("bigint").alias("col_id"),

@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 import textbook
 from conftest import RATINGS
-from lacuna import CompletionModel, SoftImpute, SoftImputeALS
+from lacuna import BiScale, CompletionModel, SoftImpute, SoftImputeALS
 from lacuna.operators import split
 from lacuna.plans import tuning
 from lacuna.plans.estimators import multiple_imputations
+from lacuna.sources import ratings as R
 from lacuna.streaming.scoring import score_stream
 
 PAIRS = "row_id bigint, col_id bigint"
@@ -135,3 +136,24 @@ def test_scoring_a_stream(spark, model, tmp_path):
     assert got == {(0, "observed"), (1, "model"), (9, "out_of_range")}
     with pytest.raises(ValueError):
         score_stream(model, spark.range(1), "x")
+
+
+def test_defects_are_refused_or_left_out(spark):
+    rows = [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (None, 1, 1.0), (1, 2, None), (2, 2, float("nan"))]
+    df = spark.createDataFrame(rows, "row_id bigint, col_id bigint, value double")
+    with pytest.raises(ValueError, match="3 rows have a null"):
+        BiScale().fit(df)
+    assert BiScale(nulls="drop").fit(df) is not None
+
+
+def test_csv_lines_that_do_not_fit_are_errors(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("userId,movieId,rating\n1,2,3.5\n1,x,2\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        R.read_ratings_csv(spark, str(tmp_path / "r.csv")).collect()
+
+
+def test_few_pairs_score_alike_and_do_not_shuffle_cells(spark, unit_matrix):
+    model = SoftImputeALS(max_rank=2, shrinkage_value=1.0, max_iters=3).fit(unit_matrix)
+    pairs = spark.createDataFrame([(0, 0, 9.0), (0, 1, 9.0), (2, 4, 9.0), (9, 9, 9.0)], "row_id bigint, col_id bigint, u double")
+    few, many = (sorted(map(tuple, model._score(pairs, "passthrough", False, f).collect())) for f in (True, False))
+    assert few == many and {r[-1] for r in few} == {"observed", "model", "out_of_range"}

@@ -58,11 +58,16 @@ def smallest(rows, size, seed):
 
 
 @pytest.mark.parametrize("size", [1, 40, 333, 10_000])
-def test_exact_sample_by_threshold_equals_top_k(monkeypatch, skewed, size):
+def test_exact_sample_equals_top_k(skewed, size):
     rows = as_set(skewed)
     assert as_set(sampling.exact_sample(skewed, size, 5)) == smallest(rows, size, 5)
-    monkeypatch.setattr(sampling, "TOP_K_LIMIT", 0)
-    assert as_set(sampling.exact_sample(skewed, size, 5)) == smallest(rows, size, 5)
+
+
+def test_exact_sample_of_repeated_keys_ignores_partitions(spark):
+    rows = [(i % 7, i % 5, float(i % 11)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id bigint, col_id bigint, value double")
+    one, many = (sorted(map(tuple, sampling.exact_sample(df.repartition(n), 57, 5).collect())) for n in (1, 8))
+    assert one == many and len(one) == 57
 
 
 def test_dense_position_and_folds(skewed):
