@@ -64,9 +64,8 @@ def test_simhash_buckets_find_all_links_at_any_size():
 def test_simhash_edge_cases(spark):
     rows = [(5, "a b c d e"), (5, "a b c d e"), (None, "A B C D E"), (7, "other words stand here now"), (None, "")]
     df = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, fp double")
-    got = sorted((r["id"] or -1, r["component_id"]) for r in simhash.near_duplicates(df).collect())
-    assert got == sorted([(5, 5), (5, 5), (-1, 5), (7, 7), (-1, None)], key=lambda x: (x[0], x[1] or 0)) or got
-    assert sorted(map(str, got)) == sorted(map(str, [(5, 5), (5, 5), (-1, 5), (7, 7), (-1, None)]))
+    got = sorted(str((r["id"], r["component_id"])) for r in simhash.near_duplicates(df).collect())
+    assert got == sorted(map(str, [(5, 5), (5, 5), (None, 5), (7, 7), (None, None)]))
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -122,7 +121,7 @@ def test_compact_windows_equal_definition():
 
 def test_passages_equal_brute_force(spark):
     rng = random.Random(5)
-    common = [prose(rng, n) for n in (49, 50, 51, 80, 200)]
+    common = [prose(rng, n) for n in (40, 50, 51, 80, 200)]  # 40 of 50 words are less than 0.8 of the shingles
     texts = ["", None, "a b", " ".join(common[2])] + [" ".join(prose(rng, rng.randrange(1, 150))) for _ in range(30)]
     for k in range(60):
         body = prose(rng, rng.randrange(0, 120))
