@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 LEAST_BITS, MOST_BITS = 16, 29
 
 
-def bitmap(keys: DataFrame, column: str, n: int) -> np.ndarray:
+def bitmap(keys: DataFrame, column: str, n: int, slots: int = 16) -> np.ndarray:
     """Bits for the ``n`` long keys of ``keys`` as unsigned 64-bit words.
 
-    There are about 16 slots per key, 2^29 at most. With more keys the bitmap fills up and passes more; what passes
+    There are about ``slots`` slots per key, 2^29 at most. With more keys the bitmap fills up and passes more; what passes
     is always joined with the keys themselves, so results do not depend on it. The driver gets one row for each
     word in use.
     """
-    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(n, 1) * 16)))))
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(n, 1) * slots)))))
     slots = keys.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("slot"))
     rows = slots.select(F.shiftright("slot", 6).alias("word"),
                         F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))

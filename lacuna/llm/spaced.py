@@ -18,6 +18,8 @@ WINDOW, EQUAL = 13, 11
 MASKS = ("11010111", "11110011")
 #: Benchmark texts shorter than a window are searched whole and without tolerance, the shortest not at all.
 SHORTEST = 8
+#: Slots of the bitmap per benchmark hash: one place in about a thousand passes by chance.
+SLOTS = 1024
 
 
 def seeds(words: Words, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +158,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     size = bench.agg(F.sum(F.size("hashes"))).first()[0] or 0
     short = [r[0] for r in bench.select((F.octet_length("words") / 8).cast("int").alias("n")).where(
         F.col("n") < WINDOW).distinct().collect()]  # at most WINDOW - SHORTEST lengths
-    segments = scratch.write(hit_segments(docs, bitmap(seed, "h", size), sorted(short), id_col, text_col).withColumn(
+    segments = scratch.write(hit_segments(docs, bitmap(seed, "h", size, SLOTS), sorted(short), id_col, text_col).withColumn(
         "segment", F.monotonically_increasing_id()), "segments")
     hits = segments.select("segment", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select(
         "segment", F.col("s.hashes").alias("h"), F.col("s.places").alias("at"))
