@@ -42,7 +42,10 @@ def replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op1_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
-    return merkle.audit(*replicas(table(spark, folder, "pages")))
+    found = merkle.audit(*replicas(table(spark, folder, "pages")))
+    # A side that lacks the record has size -1 and an empty digest.
+    return found.select("file", "at", "kind", *[F.coalesce(f"size_{x}", F.lit(-1)).alias(f"size_{x}") for x in "ab"],
+                        *[F.coalesce(f"digest_{x}", F.lit("")).alias(f"digest_{x}") for x in "ab"])
 
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:

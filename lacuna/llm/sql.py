@@ -25,7 +25,8 @@ b AS (
   SELECT file, max("at" + size), 'tail of ' || file FROM a GROUP BY file)
 SELECT coalesce(a.file, b.file) AS file, coalesce(a."at", b."at") AS "at",
   CASE WHEN b.file IS NULL THEN 'missing' WHEN a.file IS NULL THEN 'extra' ELSE 'changed' END AS kind,
-  strlen(a.payload) AS size_a, strlen(b.payload) AS size_b, sha256(a.payload) AS digest_a, sha256(b.payload) AS digest_b
+  coalesce(strlen(a.payload), -1) AS size_a, coalesce(strlen(b.payload), -1) AS size_b,
+  coalesce(sha256(a.payload), '') AS digest_a, coalesce(sha256(b.payload), '') AS digest_b
 FROM a FULL JOIN b ON a.file = b.file AND a."at" = b."at"
 WHERE a.payload IS DISTINCT FROM b.payload
 """
