@@ -109,7 +109,9 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     body = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), body.alias("text"), F.xxhash64(body).alias("row"))
     lines = rows.select("id", "row", F.explode(F.split("text", "\n")).alias("line"), F.lit(1).alias("one"))
-    hit = lines.where(F.trim("line") != "").select("id", "row", digest(F.col("line")).alias("d")).join(
+    # A join key that can be null is computed twice, for a filter on it and for the join; a line is never null.
+    key = F.coalesce(digest(F.col("line")), F.lit(""))
+    hit = lines.where(F.trim("line") != "").select("id", "row", key.alias("d")).join(
         known.select(F.col("license_digest").alias("d"), "license").dropDuplicates(["d"]), "d")
     found = hit.groupBy("id", "row").agg(F.array_sort(F.collect_set("license")).alias("names"),
                                          F.count("*").alias("hits"))
