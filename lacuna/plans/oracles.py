@@ -192,6 +192,38 @@ def fitted_cells(fit: Rank1, centers: bool) -> str:
         f"JOIN {fit.u} USING (row_id) JOIN {fit.v} USING (col_id){joins} CROSS JOIN {fit.d}"))
 
 
+def scored_by(fit: Rank1) -> tuple[str, str]:
+    """The score of any pair by a centered fit, and the joins it needs; what is unknown counts as 0."""
+    score = f"coalesce({fit.u}.u * {fit.d}.d * {fit.v}.v, 0) + coalesce(a2.center, 0) + coalesce(b2.center, 0)"
+    return score, (f"CROSS JOIN {fit.d} LEFT JOIN {fit.u} USING (row_id) LEFT JOIN {fit.v} USING (col_id) "
+                   "LEFT JOIN a2 USING (row_id) LEFT JOIN b2 USING (col_id)")
+
+
+def saved_model() -> str:
+    fit = Rank1("x").als(3)
+    score, joins = scored_by(fit)
+    return sql(CP, *PASS2, residual("x", "a2", "b2"), *fit.ctes, SHAPE, REQUESTS, select=(
+        f"SELECT l_orderkey, l_linenumber, row_id, col_id, CASE WHEN ({STATUS}) = 'ok' THEN "
+        + rnd(f"coalesce(value, {score})", 4)
+        + f" END AS prediction, CASE WHEN ({STATUS}) <> 'ok' THEN 'out_of_range' WHEN value IS NOT NULL THEN 'observed' "
+        f"ELSE 'model' END AS source FROM requests CROSS JOIN shape LEFT JOIN cells USING (row_id, col_id) {joins}"))
+
+
+def fit_and_score() -> str:
+    fit = Rank1("x").als(3)
+    score, joins = scored_by(fit)
+    centers = (mean("b1", "col_id", None, "rated"), mean("a1", "row_id", "b1", "rated"),
+               mean("b2", "col_id", "a1", "rated"), mean("a2", "row_id", "b2", "rated"))
+    return sql(
+        *SPLIT, "rated AS MATERIALIZED (SELECT * FROM train WHERE value <> 0)", *centers,
+        residual("x", "a2", "b2", "rated"), *fit.ctes,
+        f"scored AS (SELECT row_id, col_id, value, {score} AS prediction FROM test {joins})",
+        f"fitted AS (SELECT value, {score} AS prediction FROM rated {joins})",
+        select=f"SELECT row_id, col_id, value, {rnd('prediction', 4)} AS prediction, 'model' AS source, "
+               f"(SELECT {rnd('avg(power(value - prediction, 2))', 4)} FROM scored) AS mse, "
+               f"(SELECT {rnd('sqrt(avg(power(value - prediction, 2)))', 4)} FROM fitted) AS train_rmse FROM scored")
+
+
 def step_result(fit: Rank1, letter: str, key: str) -> str:
     table = fit.v if letter == "v" else fit.u
     return sql(CP, *fit.ctes, select=(
@@ -307,6 +339,8 @@ def oracles() -> dict[str, str]:
 
     out = {
         "ratings_coo": sql(CP, select="SELECT * FROM cells"),
+        "ratings_csv": sql(CP, select="SELECT * FROM cells"),
+        "transpose": sql(CP, select="SELECT col_id AS row_id, row_id AS col_id, value FROM cells"),
         "adjacency_pack": sql(CP, select=(
             "SELECT col_id, row_id // 512 AS segment, count(*) AS n, "
             "string_agg(row_id::VARCHAR, ',' ORDER BY row_id) AS row_ids, "
@@ -432,5 +466,8 @@ def oracles() -> dict[str, str]:
         "soft_impute_rank1": fitted_cells(Rank1("x").nested(2, 2), True),
         "als_rank1": fitted_cells(Rank1("x").als(3), True),
         "als_rank1_raw": fitted_cells(Rank1("cells").als(3), False),
+        "als_rank1_default": fitted_cells(Rank1("x", "0.02e0").als(3), True),
+        "model_roundtrip": saved_model(),
+        "fit_and_score": fit_and_score(),
     }
     return out

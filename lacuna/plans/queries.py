@@ -75,6 +75,21 @@ def ratings_coo(spark, folder):
     return cells_of(spark, folder)
 
 
+@query
+def ratings_csv(spark, folder):
+    """The ratings written as a CSV file and read back."""
+    path = Scratch(spark, "csv").path("ratings")
+    R.sales_ratings(spark, folder).select(
+        F.col("row_id").alias("userId"), F.col("col_id").alias("movieId"),
+        F.col("value").cast("double").alias("rating")).write.option("header", True).csv(path)
+    return R.assemble(R.read_ratings_csv(spark, path))
+
+
+@query
+def transpose(spark, folder):
+    return R.transpose(cells_of(spark, folder))
+
+
 @query
 def adjacency_pack(spark, folder):
     packed = R.pack_columns(cells_of(spark, folder), segment=512)
@@ -523,10 +538,13 @@ def _fitted_cells(model: CompletionModel, digits: int = 4) -> DataFrame:
     return rounded(fitted, digits)
 
 
+def _rank1_estimator(kind, shrinkage=SHRINKAGE, **settings):
+    return kind(max_rank=1, shrinkage_value=shrinkage, convergence_threshold=0.0, init="integer",
+                center_max_iter=2, center_threshold=0.0, **settings)
+
+
 def _rank1(kind, spark, folder, **settings):
-    estimator = kind(max_rank=1, shrinkage_value=SHRINKAGE, convergence_threshold=0.0, init="integer",
-                     center_max_iter=2, center_threshold=0.0, **settings)
-    return _fitted_cells(estimator.fit(cells_of(spark, folder)))
+    return _fitted_cells(_rank1_estimator(kind, **settings).fit(cells_of(spark, folder)))
 
 
 @query
@@ -549,6 +567,28 @@ def als_rank1_raw(spark, folder):
     return _rank1(SoftImputeALS, spark, folder, max_iters=3, center=False)
 
 
+@query
+def als_rank1_default(spark, folder):
+    """No shrinkage given: the default."""
+    return _rank1(SoftImputeALS, spark, folder, shrinkage=None, max_iters=3)
+
+
+@query
+def model_roundtrip(spark, folder):
+    model = _rank1_estimator(SoftImputeALS, max_iters=3).fit(cells_of(spark, folder))
+    path = Scratch(spark, "saved").path("model")
+    model.save(path)
+    return rounded(CompletionModel.load(path, spark).transform(_requests(spark, folder)), 4)
+
+
+@query
+def fit_and_score(spark, folder):
+    parts = _split(spark, folder)[1]
+    _, scored, mse, rmse = tuning.fit_and_score(_rank1_estimator(SoftImputeALS, max_iters=3), parts)
+    return rounded(scored.withColumn("mse", F.lit(mse)).withColumn("train_rmse", F.lit(rmse)), 4,
+                   "prediction", "mse", "train_rmse")
+
+
 # Fits at higher rank, tuning and comparison
 
 
@@ -565,22 +605,6 @@ def soft_impute_fit(spark, folder):
     return model.fitted()
 
 
-@query
-def model_roundtrip(spark, folder):
-    model = SoftImputeALS(max_rank=2, shrinkage_value=SHRINKAGE, max_iters=2).fit(cells_of(spark, folder))
-    path = Scratch(spark, "saved").path("model")
-    model.save(path)
-    return CompletionModel.load(path, spark).transform(_requests(spark, folder))
-
-
-@query
-def fit_and_score(spark, folder):
-    parts = _split(spark, folder)[1]
-    estimator = SoftImputeALS(max_rank=8, shrinkage_value=0.02, max_iters=5)
-    _, scored, mse, rmse = tuning.fit_and_score(estimator, parts)
-    return scored.withColumn("mse", F.lit(mse)).withColumn("train_rmse", F.lit(rmse))
-
-
 @query
 def grid_search(spark, folder):
     estimator = SoftImputeALS(max_iters=2)
