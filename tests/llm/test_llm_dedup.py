@@ -165,3 +165,21 @@ def test_passages_edge_cases(spark):
     got = sorted((str(r["id"]), r["class_id"], r["n_dup_words"]) for r in windows.passages(
         spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [("4", 4, 60), ("4", 4, 60), ("8", 8, 0), ("8", 8, 0), ("9", 4, 60), ("None", 4, 60)]
+
+
+def test_passages_around_one_common_line(spark, monkeypatch):
+    """A line in all texts gives them common signatures; the pairs compared still grow with the texts alone."""
+    rng = random.Random(8)
+    line, texts = prose(rng, 20), []
+    for k in range(240):
+        if k % 24 == 1:  # the text before, with a word changed
+            body = texts[-1].split()
+            body[5] = "changed"
+        else:
+            body = [f"{w}{k}" for w in prose(rng, 40)] + line + [f"{w}{k}" for w in prose(rng, 40)]
+        texts.append(" ".join(body))
+    compared, verify = [], windows._verify
+    monkeypatch.setattr(windows, "_verify", lambda pairs: compared.append(pairs.count()) or verify(pairs))
+    got = {r["id"]: r["class_id"] for r in windows.passages(frame(spark, texts)).collect()}
+    assert got == {i: i - 1 if i % 24 == 1 else i for i in range(240)}
+    assert sum(compared) < 20 * len(texts) < 240 * 239 // 2
