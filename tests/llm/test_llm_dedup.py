@@ -183,3 +183,35 @@ def test_passages_around_one_common_line(spark, monkeypatch):
     got = {r["id"]: r["class_id"] for r in windows.passages(frame(spark, texts)).collect()}
     assert got == {i: i - 1 if i % 24 == 1 else i for i in range(240)}
     assert sum(compared) < 20 * len(texts) < 240 * 239 // 2
+
+
+def similar_starts(a, b, passage=50, shingle=5):
+    """The starts in a and in b of passages that are similar as sets to one of the other text."""
+    bags = [[{tuple(t[p:p + shingle]) for p in range(i, i + passage - shingle + 1)} for i in range(len(t) - passage + 1)] for t in (a, b)]
+    hit = [(i, j) for i, x in enumerate(bags[0]) for j, y in enumerate(bags[1]) if len(x & y) >= 0.8 * len(x | y)]
+    return {i for i, _ in hit}, {j for _, j in hit}
+
+
+def edited(rng, k):
+    """Two texts of differing surroundings around a 50-word passage, with one word inserted (even k) or deleted in the second."""
+    p = prose(rng, 50, 10**6)
+    q = p[:25] + ["new"] + p[25:] if k % 2 == 0 else p[:25] + p[26:]
+    return [prose(rng, 20, 10**6) + x + prose(rng, 20, 10**6) for x in (p, q)]
+
+
+def test_passages_of_two_cells_are_compared_from_all_starts():
+    rng = random.Random(9)
+    for k in range(40):
+        a, b = edited(rng, k) if k < 30 else [[rng.choice("xyz") for _ in range(90)] for _ in range(2)]
+        if k > 35:
+            b = a[:30] + a[31:]
+        codes = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
+        x, y = (np.array([codes[w] for w in t], np.uint32) for t in (a, b))
+        spans, left = windows.matched(x, y, 0, 0, 1000, [(0, len(a) - 50, 0, len(b) - 50)])  # the alignment meets nowhere
+        want = similar_starts(a, b)
+        for side, starts in enumerate(want):
+            covered = {p for s in spans for p in range(*s[2 * side:2 * side + 2])}
+            assert covered == {p for i in starts for p in range(i, i + 50)}
+            open_ = sorted(set(range(len((a, b)[side]) - 49)) - starts)
+            assert left[0][2 * side:2 * side + 2] == ((open_[0], open_[-1]) if open_ else (len((a, b)[side]) - 49, -1))
+        assert k >= 30 or want[0]
