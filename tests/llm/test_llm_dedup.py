@@ -215,3 +215,19 @@ def test_passages_of_two_cells_are_compared_from_all_starts():
             open_ = sorted(set(range(len((a, b)[side]) - 49)) - starts)
             assert left[0][2 * side:2 * side + 2] == ((open_[0], open_[-1]) if open_ else (len((a, b)[side]) - 49, -1))
         assert k >= 30 or want[0]
+
+
+def test_a_match_elsewhere_does_not_settle_a_cell(spark):
+    """X is L's edited copy; Y repeats X around a line that all three have. Y must find X whatever X shares with L."""
+    rng = random.Random(10)
+    texts = []
+    for _ in range(40):
+        same, line, left, right = (prose(rng, n, 10**6) for n in (60, 40, 7, 7))
+        texts.append(" ".join(same + prose(rng, 7, 10**6) + line + prose(rng, 7, 10**6)))
+        texts.append(" ".join(same + left + line + right))
+        texts.append(" ".join(prose(rng, 30, 10**6) + left + line + right + prose(rng, 30, 10**6)))
+    got = {r["id"]: r for r in windows.passages(frame(spark, texts)).collect()}
+    for i in range(0, 120, 3):
+        assert [got[i + k]["class_id"] for k in range(3)] == [i] * 3
+        a, b = got[i + 2]["spans"].split(",")[0].split(":")
+        assert int(a) <= 30 and int(b) >= 84
