@@ -231,3 +231,13 @@ def test_a_match_elsewhere_does_not_settle_a_cell(spark):
         assert [got[i + k]["class_id"] for k in range(3)] == [i] * 3
         a, b = got[i + 2]["spans"].split(",")[0].split(":")
         assert int(a) <= 30 and int(b) >= 84
+
+
+def test_recall_of_edited_passages(spark):
+    """50-word passages at the threshold of 0.8 (0.804), against brute force."""
+    rng = random.Random(11)
+    texts = [" ".join(t) for k in range(300) for t in edited(rng, k)]
+    got = {r["id"]: r["class_id"] for r in windows.passages(frame(spark, texts)).collect()}
+    assert all(similar_starts(texts[i].split(), texts[i + 1].split())[0] for i in range(0, 600, 2))
+    assert sum(got[i + 1] == i for i in range(0, 600, 2)) >= 0.97 * 300
+    assert all(got[i] in (i, i - i % 2) for i in range(600))
