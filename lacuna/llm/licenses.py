@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,75 @@ ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVE
 PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH \
 THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
+_BSD_GRANT = """Redistribution and use in source and binary forms, with or without modification, are permitted \
+provided that the following conditions are met:"""
+_BSD_CLAUSES = ["""Redistributions of source code must retain the above copyright notice, this list of conditions and \
+the following disclaimer.""", """Redistributions in binary form must reproduce the above copyright notice, this list of \
+conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+                """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or \
+promote products derived from this software without specific prior written permission."""]
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR \
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A \
+PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, \
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF \
+SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY \
+OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT \
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _bsd(n: int) -> list[tuple[str, str]]:
+    """The complete text of n clauses, with and without its title and the clauses' numbers."""
+    titles = ["", f"BSD {n}-Clause License\n\n"]
+    if n == 2:
+        titles += ['BSD 2-Clause "Simplified" License\n\n']
+    else:
+        titles += ['BSD 3-Clause "New" or "Revised" License\n\n']
+    lists = ["\n".join(f"{mark(i)} {c}" for i, c in enumerate(_BSD_CLAUSES[:n], 1)) for mark in (lambda i: "*", lambda i: f"{i}.")]
+    return [(f"BSD-{n}-Clause", f"{t}Copyright (c) <year>, <holder>\n\n{_BSD_GRANT}\n\n{x}\n\n{_BSD_DISCLAIMER}")
+            for t in titles for x in lists]
+
+
+def _notices() -> list[tuple[str, str]]:
+    """The usual one-line notices of each identifier."""
+    names = {"MIT": ["MIT License"], "ISC": ["ISC License"], "0BSD": ["Zero Clause BSD License"], "Unlicense": ["Unlicense"],
+             "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+             "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License"],
+             "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License"],
+             "MPL-1.1": ["Mozilla Public License, v. 1.1"], "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"]}
+    for kind, name, versions in (("GPL", "General", ("1.0", "2.0", "3.0")), ("LGPL", "Lesser General", ("2.1", "3.0")),
+                                 ("AGPL", "Affero General", ("3.0",))):
+        for v in versions:
+            short = v.removesuffix(".0")
+            names[f"{kind}-{v}-only"] = [f"GNU {name} Public License, version {short}", f"GNU {name} Public License v{v}"]
+            names[f"{kind}-{v}-or-later"] = [f"GNU {name} Public License, version {short} or later",
+                                             f"GNU {name} Public License, version {short} or any later version"]
+    out = [(k, f"{verb} under the {n}.") for k, ns in names.items() for n in ns
+           for verb in ("Licensed", "Released", "Distributed", "This work is licensed", "This project is licensed")]
+    words = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+    for parts in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        long = "-".join(words[w] for w in parts.split("-"))
+        for v, word in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+            names[f"CC-{parts}-{v}"] = []
+            out += [(f"CC-{parts}-{v}", f"{verb} under {n}.") for verb in (
+                "Licensed", "Released", "Distributed", "This work is licensed", "This project is licensed") for n in (
+                f"CC {parts} {v}", f"a Creative Commons {long} {v} {word} License", f"the Creative Commons {long} {v} {word} License",
+                f"Creative Commons {long} {v}")]
+    ids = [*names, "MIT-0", "CC0-1.0", "LGPL-2.0-only", "LGPL-2.0-or-later", "GFDL-1.2-only", "GFDL-1.3-only"]
+    return out + [(k, f"SPDX-License-Identifier: {k}") for k in ids]
+
+
+def _texts() -> list[tuple[str, str]]:
+    """The complete texts of ``license_texts``, named by SPDX identifier."""
+    out = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        body = path.read_text(encoding="utf-8")
+        out.append((path.stem, body))
+        terms, end, _ = body.partition("END OF TERMS AND CONDITIONS")
+        if end:  # also without the appendix on how to apply it
+            out += [(path.stem, terms + end), (path.stem, terms)]
+    return out
+
+
 # Public licence texts and one-line notices, by SPDX identifier.
 KNOWN = [
     ("MIT", f"MIT License\n\nCopyright (c) <year> <holder>\n\n{_MIT_GRANT}, subject to the following conditions:\n\n"
@@ -53,6 +124,7 @@ KNOWN = [
     ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    *_bsd(2), *_bsd(3), *_texts(), *_notices(),
 ]
 
 

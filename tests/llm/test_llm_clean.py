@@ -112,6 +112,21 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0), known).count() == 0 and licenses.scan(df, known.limit(0)).where("license IS NOT NULL").count() == 0
 
 
+def test_licences_of_the_catalogue(spark):
+    """A copy of each complete text with changed case, punctuation and copyright line, and usual notices."""
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only",
+             "MPL-2.0", "Unlicense", "CC0-1.0", "GFDL-1.3-only"]
+    rows = []
+    for name in names:
+        body = max((t for k, t in licenses.KNOWN if k == name), key=len)
+        rows.append((name, "Copyright 2021 Some One\n" + body.upper().replace("<YEAR>, <HOLDER>", "2020 X").replace(", ", " ;  ")))
+    rows += [("CC-BY-SA-4.0", "licensed under CC-BY-SA 4.0"), ("GPL-3.0-or-later", "// SPDX-License-Identifier: GPL-3.0-or-later"),
+             ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["id"]: r["license"] for r in licenses.scan(df, licenses.catalogue(spark)).collect()}
+    assert [got[i] for i in range(len(rows))] == [k for k, _ in rows]
+
+
 def test_licence_scan_is_native(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = licenses.scan(df, licenses.catalogue(spark))._jdf.queryExecution().toString()
