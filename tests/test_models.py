@@ -157,3 +157,19 @@ def test_few_pairs_score_alike_and_do_not_shuffle_cells(spark, unit_matrix):
     pairs = spark.createDataFrame([(0, 0, 9.0), (0, 1, 9.0), (2, 4, 9.0), (9, 9, 9.0)], "row_id bigint, col_id bigint, u double")
     few, many = (sorted(map(tuple, model._score(pairs, "passthrough", False, f).collect())) for f in (True, False))
     assert few == many and {r[-1] for r in few} == {"observed", "model", "out_of_range"}
+
+
+def test_registered_fits_have_the_full_budget(monkeypatch):
+    """Rank 8 and 50 iterations, as the benchmark of the reference, with the stop test on."""
+    from lacuna.plans import queries as Q
+
+    seen = {}
+    monkeypatch.setattr(Q, "_split", lambda spark, folder: (None, None))
+    monkeypatch.setattr(tuning, "fit_and_score", lambda estimator, parts: seen.update(ours=estimator) or 1 / 0)
+    monkeypatch.setattr(tuning, "comparator_fit", lambda parts, **budget: seen.update(baseline=budget) or 1 / 0)
+    for name in ("fit_and_score_full", "mllib_als_baseline"):
+        with pytest.raises(ZeroDivisionError):
+            Q.REGISTRY[name](None, "")
+    value = {p.name: v for p, v in seen["ours"].extractParamMap().items()}
+    assert (value["max_rank"], value["max_iters"], value["shrinkage_value"], value["convergence_threshold"]) == (8, 50, 0.02, 1e-5)
+    assert seen["baseline"] == {"rank": 8, "max_iter": 50}
