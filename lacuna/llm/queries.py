@@ -7,12 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, cascade, chat, crf, licenses, lines, merkle, simhash, spaced, windows
+from lacuna.llm import (bpe, cascade, chat, crf, lexical, licenses, lines, manifest, merkle, packing, simhash, spaced,
+                        windows)
 from lacuna.llm.sql import SQL
 from lacuna.llm.text import share_package
 
-#: The tokenizer file; the folder can be set for machines that keep it elsewhere.
-TOKENIZER = os.path.join(os.environ.get("LACUNA_TOKENIZERS", "/opt/tokenizers"), "word_bpe_49k.json")
+#: The tokenizer files; the folder can be set for machines that keep it elsewhere.
+FOLDER = os.environ.get("LACUNA_TOKENIZERS", "/opt/tokenizers")
+TOKENIZER = os.path.join(FOLDER, "word_bpe_49k.json")
+BYTE_TOKENIZER = os.path.join(FOLDER, "byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -118,8 +121,27 @@ def op10_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.cut(table(spark, folder, "documents"), bpe.read_tokenizer(BYTE_TOKENIZER))
+    told = pieces.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.assign(told)
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = manifest.build(docs, ["doc_id", "source", "lang", "n_chars", "text"], changed=changed, current={"text": lowered})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_merkle_fixity, op2_simhash, op3_spaced_seeds, op4_pii_crf, op5_prefix_targets, op6_quality_cascade,
-    op7_compact_windows, op8_license_digests, op9_line_dedup, op10_word_bpe)}
+    op7_compact_windows, op8_license_digests, op9_line_dedup, op10_word_bpe, op11_bestfit_packing, op12_lexical_search,
+    op13_merkle_manifest)}
 
 ORACLES = dict(SQL)

