@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from lacuna.operators.index import dense_position
 from lacuna.session import Scratch
 
-#: Children of a node, and the levels that are reduced at a time: a block has FANOUT ** LEVELS slots.
+#: Children of a node, and the levels that are reduced at a time: a block has FANOUT ** levels slots.
 FANOUT, LEVELS = 16, 3
-BLOCK = FANOUT ** LEVELS
 #: The word of a null id: before all others.
 _NO_ID = -(1 << 60)
 
@@ -111,18 +110,18 @@ def _hash(text: str) -> str:
     return sha256(text.encode("ascii")).hexdigest()
 
 
-def _levels(slots: list[str], n: int) -> Iterator[tuple[list[str], list[str]]]:
+def _levels(slots: list[str], n: int, levels: int) -> Iterator[tuple[list[str], list[str]]]:
     """Each level of a block of a tree of ``n`` nodes: (digests, joined runs); the last has one digest and no runs."""
-    for _ in range(min(LEVELS, _height(n))):
+    for _ in range(min(levels, _height(n))):
         runs = ["".join(slots[i:i + FANOUT]) for i in range(0, len(slots), FANOUT)]
         yield slots, runs
         slots = [_hash(run) for run in runs]
     yield slots, []
 
 
-def _siblings(levels: list[tuple[list[str], list[str]]], slot: int) -> Iterator[tuple[str, str]]:
+def _siblings(nodes: list[tuple[list[str], list[str]]], slot: int) -> Iterator[tuple[str, str]]:
     """What stands left and right of a slot's node in its run, level by level."""
-    for _, runs in levels[:-1]:
+    for _, runs in nodes[:-1]:
         up, k = divmod(slot, FANOUT)
         yield runs[up][:64 * k], runs[up][64 * k + 64:]
         slot = up
@@ -135,13 +134,13 @@ def _slots(at: list[int], digests: list[bytes]) -> list[str]:
     return slots
 
 
-def _blocks(nodes: DataFrame, *more: str) -> DataFrame:
-    """(grp, block, total, entries): the slots of each block, at most ``BLOCK``."""
-    return nodes.groupBy("grp", F.floor(F.col("slot") / BLOCK).alias("block")).agg(
-        F.max("total").alias("total"), F.collect_list(F.struct((F.col("slot") % BLOCK).cast("int").alias("at"), "leaf", *more)).alias("entries"))
+def _blocks(nodes: DataFrame, size: int, *more: str) -> DataFrame:
+    """(grp, block, total, entries): the slots of each block, at most ``size``."""
+    return nodes.groupBy("grp", F.expr(f"slot div {size}").alias("block")).agg(
+        F.max("total").alias("total"), F.collect_list(F.struct((F.col("slot") % size).cast("int").alias("at"), "leaf", *more)).alias("entries"))
 
 
-def _reduced(blocks: DataFrame) -> DataFrame:
+def _reduced(blocks: DataFrame, levels: int) -> DataFrame:
     """The nodes above the blocks: (grp, slot, total, leaf)."""
     def run(parts):
         for part in parts:
@@ -149,9 +148,9 @@ def _reduced(blocks: DataFrame) -> DataFrame:
             out, nexts = [], []
             for r in range(part.num_rows):
                 n = total[r].as_py()
-                *_, (slots, _) = _levels(_slots(at[r].as_py(), leaf[r].as_py()), n)
+                *_, (slots, _) = _levels(_slots(at[r].as_py(), leaf[r].as_py()), n, levels)
                 out.append(bytes.fromhex(slots[0]))
-                nexts.append(-(-n // BLOCK))
+                nexts.append(-(-n // FANOUT ** levels))
             yield pa.RecordBatch.from_arrays([grp, block, pa.array(nexts, pa.int64()), pa.array(out, pa.binary())],
                                              names=["grp", "slot", "total", "leaf"])
 
@@ -159,7 +158,7 @@ def _reduced(blocks: DataFrame) -> DataFrame:
         run, "grp string, slot bigint, total bigint, leaf binary")
 
 
-def _paths(blocks: DataFrame) -> DataFrame:
+def _paths(blocks: DataFrame, levels: int) -> DataFrame:
     """(grp, slot, path) of the nodes in the blocks, from the ``path`` of each: pairs of what stands left and right."""
     def run(parts):
         for part in parts:
@@ -167,11 +166,11 @@ def _paths(blocks: DataFrame) -> DataFrame:
             row, slot, out = [], [], []
             for r in range(part.num_rows):
                 slots = _slots(at[r].as_py(), leaf[r].as_py())
-                levels, above = list(_levels(slots, total[r].as_py())), path[r].as_py()
+                nodes, above = list(_levels(slots, total[r].as_py(), levels)), path[r].as_py()
                 for k in range(len(slots)):
                     row.append(r)
-                    slot.append(block[r].as_py() * BLOCK + k)
-                    out.append([x for pair in _siblings(levels, k) for x in pair] + above)
+                    slot.append(block[r].as_py() * FANOUT ** levels + k)
+                    out.append([x for pair in _siblings(nodes, k) for x in pair] + above)
             yield pa.RecordBatch.from_arrays([grp.take(pa.array(row, pa.int64())), pa.array(slot, pa.int64()),
                                               pa.array(out, pa.list_(pa.string()))], names=["grp", "slot", "path"])
 
@@ -179,25 +178,25 @@ def _paths(blocks: DataFrame) -> DataFrame:
         run, "grp string, slot bigint, path array<string>")
 
 
-def _climb(blocks: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, list[DataFrame]]:
+def _climb(blocks: DataFrame, levels: int, scratch: Scratch, name: str) -> tuple[DataFrame, list[DataFrame]]:
     """The roots (grp, leaf) of all trees, and the blocks of each round, lowest first."""
     rounds = [blocks]
     while True:
-        nodes, seen = scratch.write_observed(_reduced(rounds[-1]), f"{name}_{len(rounds)}", most="max(total)")
+        nodes, seen = scratch.write_observed(_reduced(rounds[-1], levels), f"{name}_{len(rounds)}", most="max(total)")
         if (seen["most"] or 1) <= 1:
             return nodes.select("grp", "leaf"), rounds
-        rounds.append(scratch.write(_blocks(nodes), f"{name}_blocks_{len(rounds)}"))
+        rounds.append(scratch.write(_blocks(nodes, FANOUT ** levels), f"{name}_blocks_{len(rounds)}"))
 
 
-def _descend(rounds: list[DataFrame], top: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _descend(rounds: list[DataFrame], top: DataFrame, levels: int, scratch: Scratch, name: str) -> DataFrame:
     """(grp, block, path) of the lowest blocks, given the ``path`` of each tree's root."""
     paths = top.select("grp", F.lit(0).cast("long").alias("block"), "path")
     for k in range(len(rounds) - 1, 0, -1):
-        paths = scratch.write(_paths(rounds[k].join(paths, ["grp", "block"])), f"{name}_paths_{k}").withColumnRenamed("slot", "block")
+        paths = scratch.write(_paths(rounds[k].join(paths, ["grp", "block"]), levels), f"{name}_paths_{k}").withColumnRenamed("slot", "block")
     return paths
 
 
-def _audited(blocks: DataFrame, root: str) -> DataFrame:
+def _audited(blocks: DataFrame, root: str, levels: int) -> DataFrame:
     names = ["doc_id", "leaf", "proof_sha256", "folded_root", "verified"]
 
     def run(parts):
@@ -206,11 +205,11 @@ def _audited(blocks: DataFrame, root: str) -> DataFrame:
             for r in range(part.num_rows):
                 where, above = at[r].as_py(), path[r].as_py()
                 slots = _slots(where, leaf[r].as_py())
-                levels, beyond = list(_levels(slots, total[r].as_py())), "".join(above)
+                nodes, beyond = list(_levels(slots, total[r].as_py(), levels)), "".join(above)
                 over = list(zip(above[::2], above[1::2]))
                 proofs, folds = [], []
                 for k, now in zip(where, seen[r].as_py()):
-                    beside = list(_siblings(levels, k))
+                    beside = list(_siblings(nodes, k))
                     proofs.append(_hash("".join([x for pair in beside for x in pair]) + beyond))
                     node = now.hex()
                     for left, right in beside + over:
@@ -226,7 +225,7 @@ def _audited(blocks: DataFrame, root: str) -> DataFrame:
 
 
 def build(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_col: str = "source",
-          changed: Column | None = None, current: dict[str, Column] | None = None) -> DataFrame:
+          changed: Column | None = None, current: dict[str, Column] | None = None, levels: int = LEVELS) -> DataFrame:
     """One row per row of ``docs``: grp, doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     A leaf is the ``digest`` of a row's ``fields``. The leaves of a group (``group_col``) ascend by id; every 16
@@ -235,7 +234,7 @@ def build(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_col:
     path, level by level up to the root, each level left to right. An audit then recomputes the root: from the row as it is
     now, which is ``docs`` with the expressions ``current`` where ``changed`` holds, and the stored siblings.
 
-    Each block of 4,096 slots is an array keyed by slot and reduced three levels at once, so leaves are shuffled to
+    Each block of 4,096 slots is an array keyed by slot and reduced three ``levels`` at once, so leaves are shuffled to
     their blocks once, whatever the size of a group, and the levels above are 4,096 times smaller each. Only the root
     reaches the driver.
 
@@ -250,19 +249,19 @@ def build(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_col:
     leaves = scratch.write(rows, "leaves")
     slots, totals = ranked(leaves, scratch)
     slots = slots.withColumn("seen", F.coalesce("seen", "leaf"))
-    blocks = scratch.write(_blocks(slots.withColumn("total", F.lit(0)), "id", "seen").drop("total").join(totals, "grp"), "blocks")
-    subroots, rounds = _climb(blocks, scratch, "nodes")
+    blocks = scratch.write(_blocks(slots.withColumn("total", F.lit(0)), FANOUT ** levels, "id", "seen").drop("total").join(totals, "grp"), "blocks")
+    subroots, rounds = _climb(blocks, levels, scratch, "nodes")
     groups = dense_position(subroots, ["grp"], "slot")
     groups = scratch.write(groups.crossJoin(subroots.agg(F.count("*").alias("total"))), "groups")
-    top = scratch.write(_blocks(groups.select(F.lit("").alias("grp"), "slot", "total", "leaf")), "top_blocks")
-    roots, above = _climb(top, scratch, "top")
+    top = scratch.write(_blocks(groups.select(F.lit("").alias("grp"), "slot", "total", "leaf"), FANOUT ** levels), "top_blocks")
+    roots, above = _climb(top, levels, scratch, "top")
     root = "".join(r["leaf"].hex() for r in roots.take(1))  # none in an empty table
     start = roots.select("grp", F.array().cast("array<string>").alias("path"))
-    of_blocks = _descend(above, start, scratch, "top")
-    of_groups = _paths(top.join(of_blocks, ["grp", "block"])).select("slot", "path")
+    of_blocks = _descend(above, start, levels, scratch, "top")
+    of_groups = _paths(top.join(of_blocks, ["grp", "block"]), levels).select("slot", "path")
     of_groups = scratch.write(groups.select("slot", F.col("grp")).join(of_groups, "slot").select("grp", "path"), "group_paths")
-    paths = _descend(rounds, of_groups, scratch, "nodes")
-    done = _audited(blocks.join(paths, ["grp", "block"]), root)
+    paths = _descend(rounds, of_groups, levels, scratch, "nodes")
+    done = _audited(blocks.join(paths, ["grp", "block"]), root, levels)
     names = groups.select("grp", F.lower(F.hex("leaf")).alias("subroot"))
     return done.join(names, "grp").select(
         F.expr("CASE WHEN grp = '' THEN NULL ELSE substring(grp, 2) END").alias("grp"), "doc_id", "leaf", "subroot",

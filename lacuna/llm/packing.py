@@ -75,10 +75,11 @@ def fractional(counts: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int],
                 taken[pattern] = min(counts[k] / copies for k, copies in pattern)
                 for k, copies in pattern:
                     load[k] += taken[pattern] * copies
-        scale = STEP / (load[lengths] / counts[lengths]).max()
-        for pattern, number in taken.items():
-            use[pattern] = use.get(pattern, 0.0) + scale * number
-        covered[lengths] += scale * load[lengths] / counts[lengths]
+        for pattern, number in taken.items():  # no length is covered by more than STEP in a round
+            number *= STEP * min(1.0, *(counts[k] / load[k] for k, _ in pattern))
+            use[pattern] = use.get(pattern, 0.0) + number
+            for k, copies in pattern:
+                covered[k] += number * copies / counts[k]
     mean = float((covered * base * counts).sum() / (base * counts).sum())
     return {pattern: number / mean for pattern, number in use.items()}
 
