@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -39,27 +40,33 @@ class Factor:
         return select_vectors({out: self})
 
 
-def select_vectors(wanted: dict[str, Factor]) -> DataFrame:
-    """Vectors of one or more factors that share a table, as columns ``<name>0, <name>1, ...``.
+def unrolled(ranks: Sequence[int]) -> bool:
+    """Whether products of vectors of these ranks are few enough to be written out as column arithmetic."""
+    return sum(r * r for r in ranks) <= UNROLLED_RANK ** 2
 
-    Up to UNROLLED_RANK the products are written out as column arithmetic. Beyond that the rank
-    squared terms per row are one NumPy product per Arrow batch.
+
+def select_vectors(wanted: dict[str, Factor], keep: Sequence[str] = ()) -> DataFrame:
+    """Vectors of one or more factors that share a table, as columns ``<name>0, <name>1, ...``; ``keep`` stays as it is.
+
+    Few products are written out as column arithmetic. More of them, rank squared terms per row, are
+    one NumPy product per Arrow batch.
     """
     first = next(iter(wanted.values()))
     table, key = first.table, first.key
-    sources = list(dict.fromkeys(f.prefix for f in wanted.values()))
-    rank = len(first.matrix)
-    if rank <= UNROLLED_RANK:
+    if unrolled([len(f.matrix) for f in wanted.values()]):
         return table.selectExpr(key, *[c for name, f in wanted.items()
-                                       for c in rotated(columns(f.prefix, rank), f.matrix, name)])
-    inputs = [c for prefix in sources for c in columns(prefix, rank)]
+                                       for c in rotated(columns(f.prefix, len(f.matrix)), f.matrix, name)], *keep)
+    sources = {f.prefix: len(f.matrix) for f in wanted.values()}
+    tops = dict(zip(sources, np.cumsum([0, *sources.values()])))
+    inputs = [c for prefix, rank in sources.items() for c in columns(prefix, rank)]
     outputs = [c for name, f in wanted.items() for c in columns(name, f.matrix.shape[1])]
     blocks = np.zeros((len(inputs), len(outputs)))
     done = 0
     for factor in wanted.values():
-        top, width = sources.index(factor.prefix) * rank, factor.matrix.shape[1]
+        top, (rank, width) = tops[factor.prefix], factor.matrix.shape
         blocks[top:top + rank, done:done + width] = factor.matrix
         done += width
+    rest = len(inputs) + 1
 
     def multiply(batches):
         for batch in batches:
@@ -67,35 +74,38 @@ def select_vectors(wanted: dict[str, Factor]) -> DataFrame:
                 left = np.column_stack([batch.column(k + 1).to_numpy() for k in range(len(inputs))])
                 right = (left @ blocks).T
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *[pa.array(np.ascontiguousarray(x)) for x in right]], [key, *outputs])
+                    [batch.column(0), *[pa.array(np.ascontiguousarray(x)) for x in right], *batch.columns[rest:]],
+                    [key, *outputs, *keep])
 
-    schema = f"{key} bigint, " + ", ".join(f"{c} double" for c in outputs)
-    return table.select(key, *inputs).mapInArrow(multiply, schema)
+    schema = f"{key} bigint, " + ", ".join(f"{c} double" for c in [*outputs, *keep])
+    return table.select(key, *inputs, *keep).mapInArrow(multiply, schema)
 
 
-def table_products(table: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
-    """``left^T right`` of two lists of columns of a table, by one NumPy product per Arrow batch.
+def table_products(table: DataFrame, pairs: Sequence[tuple[list[str], list[str]]]) -> list[np.ndarray]:
+    """``left^T right`` for pairs of column lists of a table, by NumPy products per Arrow batch.
 
-    A task sends on one small matrix, and those are added up in a shuffle, not on the driver.
+    A task sends on small matrices only, and those are added up in a shuffle, not on the driver.
     """
-    names = list(dict.fromkeys(left + right))
-    at = [names.index(c) for c in left], [names.index(c) for c in right]
+    names = list(dict.fromkeys(c for pair in pairs for side in pair for c in side))
+    at = [tuple([names.index(c) for c in side] for side in pair) for pair in pairs]
+    shapes = [(len(left), len(right)) for left, right in pairs]
 
     def partial(batches):
-        total = np.zeros((len(left), len(right)))
+        total = [np.zeros(shape) for shape in shapes]
         for batch in batches:
             if batch.num_rows:
                 block = np.column_stack([batch.column(k).to_numpy() for k in range(len(names))])
-                total += block[:, at[0]].T @ block[:, at[1]]
-        i, j = np.indices(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (i, j, total)], ["i", "j", "g"])
+                for (left, right), out in zip(at, total):
+                    out += block[:, left].T @ block[:, right]
+        flat = np.concatenate([x.ravel() for x in total])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "g"])
 
-    sums = (table.select(*names).mapInArrow(partial, "i bigint, j bigint, g double")
-            .groupBy("i", "j").agg(F.sum("g").alias("g")).collect())
-    out = np.zeros((len(left), len(right)))
-    for i, j, g in sums:
-        out[i, j] = g
-    return out
+    sums = table.select(*names).mapInArrow(partial, "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
+    flat = np.zeros(sum(a * b for a, b in shapes))
+    for i, g in sums:
+        flat[i] = g
+    cuts = np.cumsum([a * b for a, b in shapes])[:-1]
+    return [x.reshape(shape) for x, shape in zip(np.split(flat, cuts), shapes)]
 
 
 def thin_svd_from_gram(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +175,7 @@ def relative_change(d_old: np.ndarray, d_new: np.ndarray, cross_u: np.ndarray, c
 def table_gram(table: DataFrame, names: list[str]) -> np.ndarray:
     """Gram matrix of a factor table by one aggregation."""
     if len(names) > UNROLLED_RANK:
-        return table_products(table, names, names)
+        return table_products(table, [(names, names)])[0]
     return gram_matrix(table.agg(F.expr(gram_sql(names)).alias("g")).first()["g"], len(names))
 
 
@@ -198,23 +208,23 @@ def scale_columns(table: DataFrame, name: str, weights: list[float]) -> DataFram
     return table.withColumn(name, array_scale(name, weights))
 
 
-def gaussian_start(rank: int, seed: int, key: str = "row_id") -> list[str]:
+def gaussian_start(rank: int, seed: int, key: str = "row_id", prefix: str = "f") -> list[str]:
     """Independent normal draws computed from the key, so that they do not depend on partitions."""
     def uniform(k: int, stream: int) -> str:
         return f"((shiftrightunsigned(xxhash64({key}, {k}, {stream}, {seed}L), 11) + 0.5D) / 9007199254740992D)"
-    return [f"sqrt(-2 * ln({uniform(k, 0)})) * cos(2 * pi() * {uniform(k, 1)}) AS f{k}" for k in range(rank)]
+    return [f"sqrt(-2 * ln({uniform(k, 0)})) * cos(2 * pi() * {uniform(k, 1)}) AS {prefix}{k}" for k in range(rank)]
 
 
-def integer_start(rank: int, key: str = "row_id") -> list[str]:
+def integer_start(rank: int, key: str = "row_id", prefix: str = "f") -> list[str]:
     """Start entries by integer arithmetic, the same in every SQL engine."""
-    return [f"(({key} * 7919 + {k * 104729 + 31}) % 1000) / 1000D - 0.5D AS f{k}" for k in range(rank)]
+    return [f"(({key} * 7919 + {k * 104729 + 31}) % 1000) / 1000D - 0.5D AS {prefix}{k}" for k in range(rank)]
 
 
-def start_entries(init: str, rank: int, seed: int, key: str = "row_id") -> list[str]:
+def start_entries(init: str, rank: int, seed: int, key: str = "row_id", prefix: str = "f") -> list[str]:
     if init == "gaussian":
-        return gaussian_start(rank, seed, key)
+        return gaussian_start(rank, seed, key, prefix)
     if init == "integer":
-        return integer_start(rank, key)
+        return integer_start(rank, key, prefix)
     raise ValueError(f"unknown start {init}")
 
 

@@ -24,7 +24,6 @@ Attach = Callable[[DataFrame, DataFrame, str], DataFrame]
 BROADCAST_BYTES = 64 << 20
 CELLS_PER_PARTITION = 1_000_000
 CELLS_WORTH_A_TASK = 20_000
-MAX_PARTITIONS = 100_000
 WIDE_ROW_BYTES = 304
 MAX_HOT_KEYS = 100_000
 OTHER = {"row_id": "col_id", "col_id": "row_id"}
@@ -42,7 +41,11 @@ def table_bytes(side: DataFrame, rows: int) -> int:
 
 @dataclass
 class Layout:
-    """Cells in one or two partitionings, with what is known about their size."""
+    """Cells in one or two partitionings, with what is known about their size.
+
+    ``centers`` are ``(key, center)`` of both sides once the cells are centered; the cells stay as they are, and a pass
+    takes the centers off as it joins the vectors.
+    """
 
     cells: DataFrame
     scratch: Scratch
@@ -54,14 +57,14 @@ class Layout:
     hot_cells: int | None = None
     ids: dict[str, int] = field(default_factory=dict)
     hot: dict[str, DataFrame] = field(default_factory=dict)
+    centers: dict[str, DataFrame] = field(default_factory=dict)
     _placed: dict[str, DataFrame] = field(default_factory=dict)
     _lock: threading.Lock = field(default_factory=threading.Lock)
 
     def __post_init__(self) -> None:
         spark = self.scratch.spark
         least = spark.sparkContext.defaultParallelism
-        self.partitions = min(max(min(least, -(-self.nnz // CELLS_WORTH_A_TASK)),
-                                  -(-self.nnz // self.cells_per_partition)), MAX_PARTITIONS)
+        self.partitions = max(min(least, -(-self.nnz // CELLS_WORTH_A_TASK)), -(-self.nnz // self.cells_per_partition))
         # A key is hot above this many cells, so there are fewer than nnz / hot_cells of them: never
         # more than MAX_HOT_KEYS, and their table is always small enough to broadcast.
         self.hot_cells = max(self.hot_cells or self.cells_per_partition // 4, -(-self.nnz // MAX_HOT_KEYS))
@@ -84,12 +87,6 @@ class Layout:
                 key, F.expr(f"cast(ceil(count / {self.hot_cells}) AS int)").alias("salts"))
             self.hot[key] = self.scratch.write(hot, f"hot_{key}")
 
-    def with_cells(self, cells: DataFrame) -> Layout:
-        """The same keys with other values."""
-        self.release()
-        return Layout(cells, self.scratch, self.n_rows, self.n_cols, self.nnz, self.broadcast_bytes,
-                      self.cells_per_partition, self.hot_cells, dict(self.ids), dict(self.hot))
-
     def writing_to(self, scratch: Scratch) -> Layout:
         """The same placed cells for another run, which writes its tables elsewhere."""
         return replace(self, scratch=scratch)

@@ -6,6 +6,8 @@ densified, and the partial sums of a group are formed before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,21 +38,51 @@ def residual_sums(cells: DataFrame, group: str, rank: int, other: DataFrame, own
     return grouped_sums(joined, group, value, columns(multiply, rank))
 
 
-def gram_sums(cells: DataFrame, group: str, rank: int, other: DataFrame, own: DataFrame,
-              attach: Attach = plain_attach) -> DataFrame:
-    """The same sums from ``sum value * p`` and ``sum p p^T`` per group, with one join of the cells.
+def block_residuals(blocks: Sequence[int], filled: bool, centered: bool) -> list[str]:
+    """For each block the value less its centers and, if ``filled``, less its low-rank value p.q."""
+    value = "value - other_center - own_center" if centered else "value"
+    return [f"{value} - ({dot(columns(f'p{g}_', rank), columns(f'q{g}_', rank))})" if filled else value
+            for g, rank in enumerate(blocks)]
+
+
+def block_sums(cells: DataFrame, group: str, blocks: Sequence[int], other: DataFrame, own: DataFrame | None,
+               filled: bool, centered: bool, attach: Attach = plain_attach, multiply: str = "p") -> DataFrame:
+    """``residual_sums`` of several fits at once: ``s<g>_<k>`` per group key, from one pass over the cells.
+
+    ``blocks`` are the ranks of the fits. ``other`` holds the vectors ``p<g>_<k>`` (and those to multiply by, if they
+    differ), ``own`` the vectors ``q<g>_<k>`` of the grouped side if the fits are ``filled``; with ``centered`` they
+    hold ``other_center`` and ``own_center`` too, two more fixed components of every vector.
+    """
+    joined = attach(cells, other, OTHER[group])
+    if own is not None:
+        joined = attach(joined, own, group)
+    values = block_residuals(blocks, filled, centered)
+    names = [columns(f"{multiply}{g}_", rank) for g, rank in enumerate(blocks)]
+    shared = len(set(values)) == 1
+    used = values[:1] if shared else values
+    inner = joined.selectExpr(group, *[f"{v} AS r{g}" for g, v in enumerate(used)], *[c for n in names for c in n])
+    return inner.groupBy(group).agg(*[F.expr(f"sum(r{0 if shared else g} * {m}) AS s{g}_{k}")
+                                      for g, n in enumerate(names) for k, m in enumerate(n)])
+
+
+def block_gram_sums(cells: DataFrame, group: str, blocks: Sequence[int], other: DataFrame, own: DataFrame,
+                    centered: bool, attach: Attach = plain_attach) -> DataFrame:
+    """The same sums of filled fits from ``sum value * p`` and ``sum p p^T`` per group, with one join of the cells.
 
-    Because q is constant in a group, the cells need not meet it: it is applied after grouping.
+    Because q and the own center are constant in a group, the cells need not meet them: they are applied after grouping.
     """
-    p, q = columns("p", rank), columns("q", rank)
-    pairs = [(i, j) for i in range(rank) for j in range(i, rank)]
     joined = attach(cells, other, OTHER[group])
-    sums = joined.groupBy(group).agg(
-        *[F.expr(f"sum(value * {p[k]}) AS c{k}") for k in range(rank)],
-        *[F.expr(f"sum({p[i]} * {p[j]}) AS g{i}_{j}") for i, j in pairs])
-    out = [f"c{k} - (" + " + ".join(f"g{min(k, l)}_{max(k, l)} * {q[l]}" for l in range(rank)) + f") AS s{k}"
-           for k in range(rank)]
-    return sums.join(own, group).selectExpr(group, *out)
+    value = "value - other_center" if centered else "value"
+    entries, out = [], []
+    for g, rank in enumerate(blocks):
+        p, q = columns(f"p{g}_", rank), columns(f"q{g}_", rank)
+        entries += [F.expr(f"sum(({value}) * {p[k]}) AS c{g}_{k}") for k in range(rank)]
+        entries += [F.expr(f"sum({p[k]}) AS t{g}_{k}") for k in range(rank) if centered]
+        entries += [F.expr(f"sum({p[i]} * {p[j]}) AS g{g}_{i}_{j}") for i in range(rank) for j in range(i, rank)]
+        for k in range(rank):
+            held = " + ".join(f"g{g}_{min(k, l)}_{max(k, l)} * {q[l]}" for l in range(rank))
+            out.append(f"c{g}_{k} - ({held})" + (f" - own_center * t{g}_{k}" if centered else "") + f" AS s{g}_{k}")
+    return joined.groupBy(group).agg(*entries).join(own, group).selectExpr(group, *out)
 
 
 def fitted_cells(cells: DataFrame, row_factors: DataFrame, col_factors: DataFrame, rank: int,

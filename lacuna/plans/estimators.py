@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.vectors import columns, pack
 from lacuna.operators import metrics, products, scaling, scoring, validate
+from lacuna.operators.factors import select_vectors
 from lacuna.operators.layout import BROADCAST_BYTES, CELLS_PER_PARTITION, Layout, table_bytes
-from lacuna.plans.solvers import Settings, Solution, solve_als, solve_nested
-from lacuna.session import Scratch
+from lacuna.plans.solvers import Settings, Solution, solve_als, solve_nested, squared_errors
+from lacuna.session import Scratch, read
 from lacuna.sources.models import load_tables, save_tables
 from lacuna.sources.ratings import KEYS, assemble, drop_zeros
 
@@ -74,14 +75,14 @@ class _InputParams(Params):
             F.col(names[2]).cast("double").alias("value"))
         # Defects are counted by the job that assembles the cells, before it drops them.
         defects = Observation()
-        triples = triples.observe(defects, F.count_if(validate.defect()).alias("defects")).where(~validate.defect())
-        cells = assemble(triples)
+        counted = [F.count_if(validate.defect()).alias("defects")]
+        cells = assemble(triples.observe(defects, *counted).where(~validate.defect()))
         if self._value("zeros") == "drop":
             cells = drop_zeros(cells)
         cells, seen = scratch.write_observed(
             cells, "cells", nnz="count(*)", last_row="max(row_id)", last_col="max(col_id)",
             first="least(min(row_id), min(col_id))")
-        lost = defects.get["defects"]
+        lost = read(defects, triples, counted)["defects"]
         if lost and self._value("nulls") == "error":
             raise ValueError(f"{lost} rows have a null id, a null value or NaN; nulls='drop' leaves them out")
         if not seen.get("nnz"):
@@ -205,19 +206,15 @@ class _Prepared:
 
     layout: Layout
     cells: DataFrame
-    row_centers: DataFrame | None
-    col_centers: DataFrame | None
     trace: list[tuple[int, float]]
 
     def release(self) -> None:
         """Free what only the fits needed; the assembled cells belong to the models."""
         self.layout.release()
-        if self.row_centers is not None:
-            self.layout.scratch.drop("residuals")
 
 
 class _Completion(Estimator, _CompletionParams):
-    """Fit pipeline shared by the methods; a subclass supplies ``_solve``."""
+    """Fit pipeline shared by the methods; a subclass supplies ``_solve``, for any number of settings at once."""
 
     @keyword_only
     def __init__(self, *, max_rank=2, shrinkage_value=None, convergence_threshold=1e-5, max_iters=100,
@@ -229,7 +226,7 @@ class _Completion(Estimator, _CompletionParams):
         super().__init__()
         self._set(**self._input_kwargs)
 
-    def _solve(self, layout: Layout, settings: Settings) -> Solution:
+    def _solve(self, layout: Layout, settings: list[Settings]) -> list[Solution]:
         raise NotImplementedError(f"{type(self).__name__} has no _solve")
 
     def complete(self, ratings: DataFrame) -> CompletionModel:
@@ -240,68 +237,73 @@ class _Completion(Estimator, _CompletionParams):
         layout = self._layout(dataset, scratch)
         cells = layout.cells
         validate.check_mask(layout.n_rows, layout.n_cols, layout.nnz)
-        row_centers = col_centers = None
         trace: list[tuple[int, float]] = []
         if self._value("center"):
             row_centers, col_centers, trace = scaling.bicenter(
                 layout, self._value("center_max_iter"), self._value("center_threshold"))
-            near = "row_id" if layout.fits(col_centers, "col_id") else "col_id"
-            residuals = scaling.residual_cells(layout.placed_by(near), row_centers, col_centers, layout.attach)
-            layout = layout.with_cells(scratch.write(residuals, "residuals"))
-        return _Prepared(layout, cells, row_centers, col_centers, trace)
-
-    def _complete(self, prepared: _Prepared) -> CompletionModel:
+            if row_centers is not None and col_centers is not None:
+                # The centers go on as two fixed components of the vectors, so the placed cells serve the fit as well.
+                layout.centers = {"row_id": row_centers, "col_id": col_centers}
+        return _Prepared(layout, cells, trace)
+
+    def _settings(self, layout: Layout) -> Settings:
+        inner, max_iters = self._value("max_inner_iters"), self._value("max_iters")
+        return Settings(
+            validate.clamp_rank(self._value("max_rank"), layout.n_rows, layout.n_cols), self._value("shrinkage_value"),
+            self._value("convergence_threshold"), max_iters, max_iters if inner is None else inner,
+            self._value("init"), self._value("seed"), self._value("criterion"), self._value("form"))
+
+    def _complete(self, prepared: _Prepared, estimators: Sequence[_Completion]) -> list[CompletionModel]:
+        """A model for each of the estimators, which differ in the settings of the method only."""
         scratch = Scratch(prepared.cells.sparkSession, type(self).__name__.lower())
         layout = prepared.layout.writing_to(scratch)
-        rank = validate.clamp_rank(self._value("max_rank"), layout.n_rows, layout.n_cols)
-        max_iters = self._value("max_iters")
-        inner = self._value("max_inner_iters")
-        solution = self._solve(layout, Settings(
-            rank, self._value("shrinkage_value"), self._value("convergence_threshold"), max_iters,
-            max_iters if inner is None else inner, self._value("init"), self._value("seed"),
-            self._value("criterion"), self._value("form")))
-
-        def side(factor, key, name, centers):
-            names = columns("o", rank)
-            table = factor.select("o").selectExpr(key, pack(names, name))
-            if centers is not None:
-                table = layout.attach_grouped(table, centers, key)
-            else:
-                table = table.withColumn("center", F.lit(0.0))
-            return scratch.write(table.select(key, "center", F.lit(1.0).alias("scale"), name), f"model_{key}")
-
-        model = CompletionModel(
-            side(solution.u, "row_id", "u", prepared.row_centers),
-            side(solution.v, "col_id", "v", prepared.col_centers), prepared.cells,
-            dict(d=[float(x) for x in solution.d], n_rows=layout.n_rows, n_cols=layout.n_cols, nnz=layout.nnz,
-                 row_ids=layout.ids["row_id"], col_ids=layout.ids["col_id"], shrinkage=float(solution.shrinkage),
-                 changes=solution.changes, trace=prepared.trace, effective_rank=solution.effective_rank))
-        return self._copyValues(model)
+        solutions = self._solve(layout, [e._settings(layout) for e in estimators])
+        errors = squared_errors(layout, solutions)
+        models = []
+        for g, (estimator, solution, error) in enumerate(zip(estimators, solutions, errors)):
+            def side(factor, key, name):
+                keep = ["center"] if layout.centers else []
+                table = select_vectors({"o": factor}, keep)
+                center = "center" if keep else "0D AS center"
+                return scratch.write(table.selectExpr(key, center, "1D AS scale", pack(columns("o", len(solution.d)), name)),
+                                     f"model_{g}_{key}")
+
+            model = CompletionModel(
+                side(solution.u, "row_id", "u"), side(solution.v, "col_id", "v"), prepared.cells,
+                dict(d=[float(x) for x in solution.d], n_rows=layout.n_rows, n_cols=layout.n_cols, nnz=layout.nnz,
+                     row_ids=layout.ids["row_id"], col_ids=layout.ids["col_id"], shrinkage=float(solution.shrinkage),
+                     changes=solution.changes, trace=prepared.trace, effective_rank=solution.effective_rank,
+                     squared_error=float(error or 0.0)))
+            models.append(estimator._copyValues(model))
+        return models
 
     def _fit(self, dataset: DataFrame) -> CompletionModel:
+        return self.fit_many(dataset, [{}])[0]
+
+    def fit_many(self, dataset: DataFrame, param_maps: Sequence[dict]) -> list[CompletionModel]:
+        """Models for several settings of the method on one assembled, centered and placed matrix.
+
+        ``SoftImputeALS`` fits them side by side: every half step passes over the cells once for all of them.
+        """
+        shared = {"center", "center_max_iter", "center_threshold", "form", *(p.name for p in _InputParams().params)}
+        if any(p.name in shared for settings in param_maps for p in settings):
+            return [self.fit(dataset, settings) for settings in param_maps]
         prepared = self._prepare(dataset)
         try:
-            return self._complete(prepared)
+            return self._complete(prepared, [self.copy(settings) for settings in param_maps])
         finally:
             prepared.release()
 
     def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]):
-        """Models for several settings of the method on one assembled, centered and placed matrix."""
-        shared = {"center", "center_max_iter", "center_threshold", *(p.name for p in _InputParams().params)}
-        if any(p.name in shared for settings in paramMaps for p in settings):
-            return super().fitMultiple(dataset, paramMaps)
-        prepared = self._prepare(dataset)
-        left = [len(paramMaps)]
+        """``fit_many`` behind the iterator that cross-validation asks for; the first model asked for fits all."""
+        models: list[CompletionModel] = []
         lock = threading.Lock()
 
         def fit_one(index: int) -> CompletionModel:
-            try:
-                return self.copy(paramMaps[index])._complete(prepared)
-            finally:
-                with lock:
-                    left[0] -= 1
-                    if not left[0]:
-                        prepared.release()
+            with lock:
+                if not models:
+                    models.extend(self.fit_many(dataset, paramMaps))
+            return models[index]
 
         return _FitMultipleIterator(fit_one, len(paramMaps))
 
@@ -309,14 +311,14 @@ class _Completion(Estimator, _CompletionParams):
 class SoftImpute(_Completion):
     """Outer fill-in loop around an inner alternating loop on the filled, sparse-plus-low-rank matrix."""
 
-    def _solve(self, layout: Layout, settings: Settings) -> Solution:
-        return solve_nested(layout, settings)
+    def _solve(self, layout: Layout, settings: list[Settings]) -> list[Solution]:
+        return [solve_nested(layout.writing_to(Scratch(layout.scratch.spark, "nested")), s) for s in settings]
 
 
 class SoftImputeALS(_Completion):
     """One loop that refreshes the residuals after every half step; needs fewer jobs."""
 
-    def _solve(self, layout: Layout, settings: Settings) -> Solution:
+    def _solve(self, layout: Layout, settings: list[Settings]) -> list[Solution]:
         return solve_als(layout, settings)
 
 
@@ -400,7 +402,12 @@ class CompletionModel(Model, _CompletionParams):
         return self._score(self.cells, "model", False).drop("source")
 
     def train_rmse(self) -> float:
-        """Over the observed cells; the same in centered and in rating units, since scales are 1."""
+        """Over the observed cells; the same in centered and in rating units, since scales are 1.
+
+        The fit has summed the squared errors over its placed cells; only clipped scores have to be computed.
+        """
+        if "squared_error" in self.scalars and self._value("min_value") is None and self._value("max_value") is None:
+            return (self.scalars["squared_error"] / self.scalars["nnz"]) ** 0.5
         return metrics.root_mean_squared_error(self.fitted(), "value", "prediction").first()["rmse"]
 
     eval = train_rmse
@@ -426,11 +433,10 @@ class CompletionModel(Model, _CompletionParams):
 
 def multiple_imputations(estimator: _Completion, ratings: DataFrame, pairs: DataFrame,
                          seeds: Sequence[int]) -> DataFrame:
-    """Score the pairs by one fit per start seed and average the predictions."""
+    """Score the pairs by fits from several start seeds, made side by side, and average the predictions."""
     pairs = pairs.select(*KEYS)
     runs = None
-    for seed in seeds:
-        model = estimator.fit(ratings, {estimator.getParam("seed"): seed})
+    for model in estimator.fit_many(ratings, [{estimator.getParam("seed"): seed} for seed in seeds]):
         run = model.transform(pairs)
         runs = run if runs is None else runs.unionByName(run)
     return metrics.imputation_mean(runs)

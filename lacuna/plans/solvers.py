@@ -12,14 +12,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lacuna.functions.vectors import columns, cross_matrix, cross_sql, gram_matrix, gram_sql
 from lacuna.operators.factors import (
-    UNROLLED_RANK, Factor, relative_change, select_vectors, shrink_weights, soft_threshold, start_entries,
-    table_products, thin_svd,
+    Factor, relative_change, select_vectors, shrink_weights, soft_threshold, start_entries, table_products, thin_svd,
+    unrolled,
 )
 from lacuna.operators.layout import OTHER, Layout
-from lacuna.operators.products import gram_sums, residual_sums
+from lacuna.operators.products import block_gram_sums, block_residuals, block_sums
 
 # Fixed value: the default penalty is the first start singular value, which is 1, over 50.
 DEFAULT_SHRINKAGE_DIVISOR = 50.0
@@ -88,151 +89,252 @@ def prefers_gram_form(layout: Layout, group: str, rank: int, sides_fit: bool) ->
     return partial_rows * (1 + rank + rank * (rank + 1) // 2) < layout.nnz * (3 + rank)
 
 
+@dataclass
+class Job:
+    """What one fit asks of a half step: the vectors to multiply by, its low-rank part, and those to compare with."""
+
+    multiply: Factor
+    low: LowRank | None
+    previous: Factor | None
+    weights: np.ndarray
+
+
 def half_step(layout: Layout, name: str, group: str, rank: int, multiply: Factor, low: LowRank | None,
               previous: Factor | None, weights: np.ndarray, form: str = "auto") -> Step:
-    """``(residual^T m + low-rank part) * weights`` for every id of the grouped side.
+    """``half_steps`` for one fit."""
+    return half_steps(layout, name, group, [Job(multiply, low, previous, weights)], form)[0]
 
-    ``previous`` are the vectors to compare the new ones with; with ``low.small`` left out they
-    are ``low.own``.
+
+def half_steps(layout: Layout, name: str, group: str, jobs: list[Job], form: str = "auto") -> list[Step]:
+    """``(residual^T m + low-rank part) * weights`` for every id of the grouped side, for several fits at once.
+
+    The fits' vectors lie side by side in one table per side, so however many there are, the cells are passed over
+    once. All fits have a low-rank part or none has. ``previous`` are the vectors to compare the new ones with; with
+    ``low.small`` left out they are ``low.own``. If the layout has centers, the tables carry one per id, and
+    residuals are those of the centered cells.
     """
-    other_side = OTHER[group]
-    same = low is not None and multiply is low.other
-    other = select_vectors({"p": multiply} if same or low is None else {"m": multiply, "p": low.other})
-    own = None if low is None else low.own.times(np.diag(low.d)).select("q")
+    other_side, centered = OTHER[group], bool(layout.centers)
+    keep = ["center"] if centered else []
+    blocks = [len(j.weights) for j in jobs]
+    filled = jobs[0].low is not None
+    same = filled and all(j.multiply is j.low.other for j in jobs)
+    wanted = {}
+    for g, j in enumerate(jobs):
+        if filled and not same:
+            wanted[f"m{g}_"] = j.multiply
+        wanted[f"p{g}_"] = j.low.other if filled else j.multiply
+    other, own = select_vectors(wanted, keep), None
+    if filled:
+        own = select_vectors({f"q{g}_": j.low.own.times(np.diag(j.low.d)) for g, j in enumerate(jobs)}, keep)
+    elif centered:
+        own = layout.centers[group].select(group, "center")
+    if centered:
+        other, own = other.withColumnRenamed("center", "other_center"), own.withColumnRenamed("center", "own_center")
 
     sides_fit = layout.fits(other, other_side) or own is None or layout.fits(own, group)
     cells = layout.cells_for(group, other)
-    if form == "gram" or (form == "auto" and same and prefers_gram_form(layout, group, rank, sides_fit)):
-        if own is not None and not same:
-            raise ValueError("the Gram form needs the multiplying vectors to be the low-rank ones")
-        sums = (gram_sums(cells, group, rank, other, own, layout.attach) if own is not None
-                else residual_sums(cells, group, rank, other, None, layout.attach))
+    if form == "gram" and filled and not same:
+        raise ValueError("the Gram form needs the multiplying vectors to be the low-rank ones")
+    if same and (form == "gram" or (form == "auto" and prefers_gram_form(layout, group, sum(blocks), sides_fit))):
+        sums = block_gram_sums(cells, group, blocks, other, own, centered, layout.attach)
     else:
-        sums = residual_sums(cells, group, rank, other, own, layout.attach,
-                             "p" if same or low is None else "m")
+        sums = block_sums(cells, group, blocks, other, own, filled, centered, layout.attach,
+                          "m" if filled and not same else "p")
 
     # The per-iteration numbers stay out of this stage: they enter through the small side tables
     # above, and the weights are applied to the rank-by-rank results. Its generated code is then
     # the same in every iteration and stays compiled.
-    s, f = columns("s", rank), columns("f", rank)
-    dense, o, v = [], [], []
-    if low is not None and low.small is None:
-        sums = layout.attach_grouped(sums, own, group)
-        dense = v = columns("q", rank)
-    elif low is not None:
-        dense, o, v = (columns(x, rank) for x in "tov")
-        sums = layout.attach_grouped(sums, select_vectors(
-            {"t": low.own.times(low.d[:, None] * low.small), "o": low.own, "v": previous}), group)
-    elif previous is not None:
-        v = columns("v", rank)
-        sums = layout.attach_grouped(sums, previous.select("v"), group)
-    fresh = [f"{s[k]} + {dense[k]} AS {f[k]}" if dense else f"{s[k]} AS {f[k]}" for k in range(rank)]
-
-    table, gram, products = _write_products(layout, sums.selectExpr(group, *fresh, *o, *v), name, [group, *f, *o], f,
-                                            {"previous": v, "old": o})
-
-    def cross(which: str) -> np.ndarray:
-        return weights[:, None] * products.get(which, np.zeros((rank, rank)))
-
-    with_previous = cross("previous")
-    if low is not None and low.small is None:
-        with_previous = np.divide(with_previous, low.d, out=np.zeros_like(with_previous),
-                                  where=np.broadcast_to(low.d > 0, with_previous.shape))
-    return Step(
-        raw=Factor(table, group, "f", np.diag(weights)),
-        old=Factor(table, group, "o", np.eye(rank)) if o else None,
-        gram=weights[:, None] * gram * weights,
-        with_previous=with_previous,
-        with_old=cross("old"),
-    )
-
-
-def _write_products(layout: Layout, df: DataFrame, name: str, keep: list[str], vectors: list[str],
-                    others: dict[str, list[str]]) -> tuple[DataFrame, np.ndarray, dict[str, np.ndarray]]:
-    """Write new vectors; their Gram matrix and their products with other columns.
+    alone = filled and jobs[0].low.small is None
+    dense, old, last = "q" if alone else "t", [], []
+    if alone:
+        sums, last = layout.attach_grouped(sums, own, group), [f"q{g}_" for g in range(len(jobs))]
+        sums = sums.withColumnRenamed("own_center", "center")
+    elif filled:
+        held = {}
+        for g, j in enumerate(jobs):
+            held |= {f"t{g}_": j.low.own.times(j.low.d[:, None] * j.low.small), f"o{g}_": j.low.own, f"v{g}_": j.previous}
+            old.append(f"o{g}_")
+            last.append(f"v{g}_")
+        sums = layout.attach_grouped(sums, select_vectors(held, keep), group)
+    elif jobs[0].previous is not None:
+        last = [f"v{g}_" for g in range(len(jobs))]
+        sums = layout.attach_grouped(sums, select_vectors({x: j.previous for x, j in zip(last, jobs)}, keep), group)
+    elif centered:
+        sums = layout.attach_grouped(sums, layout.centers[group].select(group, "center"), group)
+    names = [columns(f"f{g}_", rank) for g, rank in enumerate(blocks)]
+    fresh = [f"s{g}_{k} + {dense}{g}_{k} AS {c}" if filled else f"s{g}_{k} AS {c}"
+             for g, n in enumerate(names) for k, c in enumerate(n)]
+    others = [{w: columns(prefix[g], rank) for w, prefix in (("old", old), ("previous", last)) if prefix}
+              for g, rank in enumerate(blocks)]
+    kept = [c for o in others for c in o.get("old", [])]
+    used = list(dict.fromkeys(c for o in others for cols in o.values() for c in cols))
+    table, products = _write_products(layout, sums.selectExpr(group, *fresh, *used, *keep), name,
+                                      [group, *[c for n in names for c in n], *kept, *keep], names, others)
+
+    steps = []
+    for g, (j, rank, (gram, crosses)) in enumerate(zip(jobs, blocks, products)):
+        found = {which: j.weights[:, None] * crosses.get(which, np.zeros((rank, rank))) for which in ("previous", "old")}
+        if alone:
+            found["previous"] = np.divide(found["previous"], j.low.d, out=np.zeros_like(found["previous"]),
+                                          where=np.broadcast_to(j.low.d > 0, (rank, rank)))
+        steps.append(Step(
+            raw=Factor(table, group, f"f{g}_", np.diag(j.weights)),
+            old=Factor(table, group, f"o{g}_", np.eye(rank)) if old else None,
+            gram=j.weights[:, None] * gram * j.weights, with_previous=found["previous"], with_old=found["old"]))
+    return steps
+
+
+def _write_products(layout: Layout, df: DataFrame, name: str, keep: list[str], vectors: list[list[str]],
+                    others: list[dict[str, list[str]]]) -> tuple[DataFrame, list[tuple[np.ndarray, dict[str, np.ndarray]]]]:
+    """Write new vectors; for each fit their Gram matrix and their products with other columns.
 
     At low rank these are aggregates of the writing job. Beyond, there would be too many of them,
     and they are taken from the written table.
     """
-    rank = len(vectors)
-    others = {which: names for which, names in others.items() if names}
-    if rank <= UNROLLED_RANK:
-        table, seen = layout.scratch.write_observed(
-            df, name, keep, gram=gram_sql(vectors), **{w: cross_sql(vectors, names) for w, names in others.items()})
-        return (table, gram_matrix(seen["gram"], rank),
-                {which: cross_matrix(seen[which], rank, rank) for which in others})
+    ranks = [len(v) for v in vectors]
+    if unrolled(ranks):
+        wanted = {f"gram_{g}": gram_sql(v) for g, v in enumerate(vectors)}
+        wanted |= {f"{which}_{g}": cross_sql(v, names) for g, v in enumerate(vectors) for which, names in others[g].items()}
+        table, seen = layout.scratch.write_observed(df, name, keep, **wanted)
+        return table, [(gram_matrix(seen[f"gram_{g}"], r),
+                        {which: cross_matrix(seen[f"{which}_{g}"], r, r) for which in others[g]})
+                       for g, r in enumerate(ranks)]
     table = layout.scratch.write(df, name)
-    flat = table_products(table, vectors, vectors + [c for names in others.values() for c in names])
-    blocks = np.split(flat, 1 + len(others), axis=1)
-    return table.select(*keep), blocks[0], dict(zip(others, blocks[1:]))
+    pairs = [(v, v + [c for names in o.values() for c in names]) for v, o in zip(vectors, others)]
+    out = []
+    for flat, o in zip(table_products(table, pairs), others):
+        parts = np.split(flat, 1 + len(o), axis=1)
+        out.append((parts[0], dict(zip(o, parts[1:]))))
+    return table.select(*keep), out
+
+
+def starts(layout: Layout, settings: list[Settings]) -> list[tuple[Factor, np.ndarray, float]]:
+    """For each fit orthonormal row vectors, unit singular values and the shrinkage; one table, no column vectors."""
+    ids = layout.centers["row_id"].select("row_id", "center") if layout.centers else layout.cells.select("row_id").distinct()
+    names = [columns(f"f{g}_", s.rank) for g, s in enumerate(settings)]
+    entries = ids.selectExpr("row_id", *[e for g, s in enumerate(settings)
+                                         for e in start_entries(s.init, s.rank, s.seed, prefix=f"f{g}_")], *ids.columns[1:])
+    table, products = _write_products(layout, entries, "start", entries.columns, names, [{} for _ in settings])
+    out = []
+    for g, (s, (gram, _)) in enumerate(zip(settings, products)):
+        raw = Factor(table, "row_id", f"f{g}_", np.eye(s.rank))
+        d = np.ones(s.rank)
+        shrinkage = d[0] / DEFAULT_SHRINKAGE_DIVISOR if s.shrinkage is None else s.shrinkage
+        out.append((raw.times(thin_svd(raw, gram)[2]), d, shrinkage))
+    return out
 
 
 def start(layout: Layout, settings: Settings) -> tuple[Factor, np.ndarray, float]:
-    """Orthonormal row vectors, unit singular values, no column vectors, and the shrinkage."""
-    rank = settings.rank
-    ids = layout.cells.select("row_id").distinct()
-    entries = ids.selectExpr("row_id", *start_entries(settings.init, rank, settings.seed))
-    table, gram, _ = _write_products(layout, entries, "start", entries.columns, columns("f", rank), {})
-    raw = Factor(table, "row_id", "f", np.eye(rank))
-    _, _, over = thin_svd(raw, gram)
-    d = np.ones(rank)
-    shrinkage = d[0] / DEFAULT_SHRINKAGE_DIVISOR if settings.shrinkage is None else settings.shrinkage
-    return raw.times(over), d, shrinkage
+    """``starts`` for one fit."""
+    return starts(layout, [settings])[0]
+
+
+def squared_errors(layout: Layout, solutions: list[Solution]) -> list[float]:
+    """Sum of squared residuals of each fit over the placed cells: one pass, no shuffle of cells, one row to the driver."""
+    keep = ["center"] if layout.centers else []
+    # Fits that ended in different rounds have their vectors in different tables.
+    tables: dict[int, list[int]] = {}
+    for g, x in enumerate(solutions):
+        tables.setdefault(id(x.u.table), []).append(g)
+    out = [0.0] * len(solutions)
+    for some in tables.values():
+        chosen = [solutions[g] for g in some]
+        if any(x.v.table is not chosen[0].v.table for x in chosen):
+            for g in some:
+                out[g] = _squared_errors(layout, [solutions[g]], keep)[0]
+        else:
+            for g, error in zip(some, _squared_errors(layout, chosen, keep)):
+                out[g] = error
+    return out
+
+
+def _squared_errors(layout: Layout, solutions: list[Solution], keep: list[str]) -> list[float]:
+    other = select_vectors({f"p{g}_": x.v for g, x in enumerate(solutions)}, keep)
+    own = select_vectors({f"q{g}_": x.u.times(np.diag(x.d)) for g, x in enumerate(solutions)}, keep)
+    if keep:
+        other, own = other.withColumnRenamed("center", "other_center"), own.withColumnRenamed("center", "own_center")
+    joined = layout.attach(layout.attach(layout.cells_for("row_id", other), other, "col_id"), own, "row_id")
+    values = block_residuals([len(x.d) for x in solutions], True, bool(keep))
+    return list(joined.agg(*[F.expr(f"sum(power({v}, 2)) AS e{g}") for g, v in enumerate(values)]).first())
 
 
 class _Tables:
-    """Names of the current row and column tables; a replaced table is dropped."""
+    """Names of the current row and column tables; a replaced table is dropped unless a finished fit still needs it."""
 
     def __init__(self, layout: Layout):
         self.layout = layout
         self.current = {"row_id": "start", "col_id": None}
+        self.pinned: set[str] = set()
         self.count = 0
 
-    def next(self, group: str) -> tuple[str, Callable[[], None]]:
+    def name(self, group: str) -> str:
         self.count += 1
-        name, stale = f"{group}_{self.count}", self.current[group]
+        return f"{group}_{self.count}"
+
+    def next(self, group: str) -> tuple[str, Callable[[], None]]:
+        name, stale = self.name(group), self.current[group]
         self.current[group] = name
-        return name, lambda: self.layout.scratch.drop(stale) if stale else None
+        return name, lambda: self.layout.scratch.drop(stale) if stale and stale not in self.pinned else None
 
 
-def solve_als(layout: Layout, settings: Settings) -> Solution:
-    """Residuals are refreshed in every half step: one loop."""
-    rank = settings.rank
-    u, d, lam = start(layout, settings)
+@dataclass
+class _Fit:
+    settings: Settings
+    u: Factor
+    d: np.ndarray
+    lam: float
     v: Factor | None = None
-    tables = _Tables(layout)
-    solution = Solution(u, d, u, lam)
+    changes: list[float] = field(default_factory=list)
 
-    def half(group: str, other: Factor, own: Factor | None, d: np.ndarray, weights: np.ndarray) -> Step:
-        name, drop_stale = tables.next(group)
-        low = None if own is None else LowRank(other, d, own)
-        step = half_step(layout, name, group, rank, other, low, own, weights, form=settings.form)
-        drop_stale()
-        return step
+    def solution(self) -> Solution:
+        return Solution(self.u, self.d, self.v or self.u, self.lam, self.changes)
 
-    for _ in range(settings.max_iters):
-        d_old = d
-        step = half("col_id", u, v, d, shrink_weights(d, lam))
-        d, w, over = thin_svd(step.raw, step.gram)
-        cross_v = over.T @ step.with_previous
-        v, u, turned = step.raw.times(over), u.times(w), w
-
-        step = half("row_id", v, u, d, shrink_weights(d, lam))
-        d, w, over = thin_svd(step.raw, step.gram)
-        cross_u = over.T @ step.with_previous @ turned.T
-        u, v, cross_v = step.raw.times(over), v.times(w), w.T @ cross_v
-
-        solution.changes.append(relative_change(d_old, d, cross_u, cross_v, settings.criterion))
-        if solution.changes[-1] < settings.threshold:
-            break
 
-    if lam > 0:
-        step = half("row_id", v, u, d, np.ones(rank))
-        d, w, over = thin_svd(step.raw, step.gram)
-        u, v = step.raw.times(over), v.times(w)
-        d = soft_threshold(d, lam)
-    solution.u, solution.d, solution.v = u, d, v
-    return solution
+def solve_als(layout: Layout, settings: list[Settings]) -> list[Solution]:
+    """Residuals are refreshed in every half step: one loop, for several fits side by side.
+
+    A fit that has converged or used up its iterations leaves the batch; the others go on.
+    """
+    fits = [_Fit(s, *x) for s, x in zip(settings, starts(layout, settings))]
+    tables, live = _Tables(layout), [f for f in fits if f.settings.max_iters > 0]
+
+    def half(group: str, some: list[_Fit], weights: list[np.ndarray], apart: bool = False) -> list[Step]:
+        name, drop_stale = (tables.name(group), lambda: None) if apart else tables.next(group)
+        jobs = []
+        for f, w in zip(some, weights):
+            other, own = (f.u, f.v) if group == "col_id" else (f.v, f.u)
+            jobs.append(Job(other, None if f.v is None else LowRank(other, f.d, own), own, w))
+        steps = half_steps(layout, name, group, jobs, settings[0].form)
+        drop_stale()
+        return steps
+
+    while live:
+        before = [f.d for f in live]
+        turned, crosses = [], []
+        for f, step in zip(live, half("col_id", live, [shrink_weights(f.d, f.lam) for f in live])):
+            f.d, w, over = thin_svd(step.raw, step.gram)
+            f.v, f.u = step.raw.times(over), f.u.times(w)
+            turned.append(w)
+            crosses.append(over.T @ step.with_previous)
+        done = []
+        steps = half("row_id", live, [shrink_weights(f.d, f.lam) for f in live])
+        for f, step, w_col, cross_v, d_old in zip(live, steps, turned, crosses, before):
+            f.d, w, over = thin_svd(step.raw, step.gram)
+            cross_u = over.T @ step.with_previous @ w_col.T
+            f.u, f.v = step.raw.times(over), f.v.times(w)
+            f.changes.append(relative_change(d_old, f.d, cross_u, w.T @ cross_v, f.settings.criterion))
+            if f.changes[-1] < f.settings.threshold or len(f.changes) == f.settings.max_iters:
+                done.append(f)
+        live = [f for f in live if f not in done]
+        if done:
+            tables.pinned |= {tables.current["col_id"], tables.current["row_id"]}
+        last = [f for f in done if f.lam > 0]
+        if last:
+            for f, step in zip(last, half("row_id", last, [np.ones(len(f.d)) for f in last], apart=True)):
+                f.d, w, over = thin_svd(step.raw, step.gram)
+                f.u, f.v = step.raw.times(over), f.v.times(w)
+                f.d = soft_threshold(f.d, f.lam)
+    return [f.solution() for f in fits]
 
 
 def solve_nested(layout: Layout, settings: Settings) -> Solution:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
@@ -50,6 +51,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
 
 
+def read(seen: Observation, df: DataFrame, wanted: list[Column]) -> dict:
+    """What a finished job observed; if nothing, the same aggregates of ``df`` by a job of their own.
+
+    Adaptive execution replaces the stages above an empty shuffle by an empty relation, and the observation is
+    gone with them.
+    """
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return df.agg(*wanted).first().asDict()
+
+
 class Scratch:
     """Parquet tables below the checkpoint folder, one folder per run.
 
@@ -72,9 +85,10 @@ class Scratch:
                        **metrics: str) -> tuple[DataFrame, dict]:
         """Write a table, or its ``keep`` columns, and collect SQL aggregates in the same job."""
         seen = Observation()
-        observed = df.observe(seen, *[F.expr(sql).alias(key) for key, sql in metrics.items()])
+        wanted = [F.expr(sql).alias(key) for key, sql in metrics.items()]
+        observed = df.observe(seen, *wanted)
         table = self.write(observed.select(*keep) if keep else observed, name)
-        return table, seen.get
+        return table, read(seen, df, wanted)
 
     def drop(self, *names: str) -> None:
         """Free tables that a later step has replaced."""
