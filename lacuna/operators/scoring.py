@@ -28,15 +28,14 @@ def pairs_from_arrays(requests: DataFrame, row_ids: str = "row_ids", col_ids: st
 def score_pairs(pairs: DataFrame, rows: DataFrame, cols: DataFrame, d: Sequence[float],
                 n_rows: int, n_cols: int, observed: DataFrame | None = None, strict: bool = False,
                 min_value: float | None = None, max_value: float | None = None,
-                small_rows: bool = False, small_cols: bool = False, few: bool = False) -> DataFrame:
+                small_rows: bool = False, small_cols: bool = False, small_observed: bool = False) -> DataFrame:
     """Adds ``prediction`` and ``source`` to every pair.
 
     ``rows`` is ``(row_id, center, scale, u)`` and ``cols`` is ``(col_id, center, scale, v)``. A pair
     found in ``observed`` gets its stored rating; any other pair inside the shape gets the low-rank
     value, where a row or column without a vector counts as zero; both in rating units. The plan is
-    lazy. ``small_rows`` and ``small_cols`` say that the caller has checked the table's size for a
-    broadcast; otherwise the optimizer plans shuffles and splits skewed pairs at run time. ``few`` says the
-    same of the pairs: then the observed cells are not shuffled but filtered by the pairs' keys.
+    lazy. ``small_rows``, ``small_cols`` and ``small_observed`` say that the caller has checked the table's size for a
+    broadcast; otherwise the optimizer plans shuffles and splits skewed pairs at run time.
     """
     def side(table: DataFrame, key: str, name: str, vector: str, small: bool) -> DataFrame:
         out = table.select(F.col(key).alias(f"_{key}"), F.col("center").alias(f"_{name}_center"),
@@ -51,9 +50,7 @@ def score_pairs(pairs: DataFrame, rows: DataFrame, cols: DataFrame, d: Sequence[
     if observed is not None:
         stored = observed.select(F.col("row_id").alias("_at_row"), F.col("col_id").alias("_at_col"),
                                  F.col("value").alias("_stored"))
-        if few:  # the cells are filtered where they lie; only the ones asked for go on
-            asked = pairs.select(F.col("row_id").alias("_at_row"), F.col("col_id").alias("_at_col")).distinct()
-            stored = F.broadcast(stored.join(F.broadcast(asked), ["_at_row", "_at_col"], "left_semi"))
+        stored = F.broadcast(stored) if small_observed else stored
         joined = joined.join(stored, (F.col("row_id") == F.col("_at_row")) & (F.col("col_id") == F.col("_at_col")), "left")
     else:
         joined = joined.withColumn("_stored", F.lit(None).cast("double"))

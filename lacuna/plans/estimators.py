@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.vectors import columns, pack
-from lacuna.operators import metrics, products, scaling, scoring, validate
+from lacuna.operators import lookup, metrics, products, scaling, scoring, validate
 from lacuna.operators.factors import select_vectors
 from lacuna.operators.layout import BROADCAST_BYTES, CELLS_PER_PARTITION, Layout, table_bytes
 from lacuna.plans.solvers import Settings, Solution, solve_als, solve_nested, squared_errors
@@ -331,6 +331,7 @@ class CompletionModel(Model, _CompletionParams):
         self.scalars = scalars
         self.d = np.array(scalars["d"], dtype=float)
         self.n_iterations = len(scalars["changes"])
+        self.index: lookup.CellIndex | None = None
 
     @property
     def row_factors(self) -> DataFrame:
@@ -359,18 +360,50 @@ class CompletionModel(Model, _CompletionParams):
     def _value(self, name: str):
         return self.getOrDefault(self.getParam(name))
 
-    def _score(self, pairs: DataFrame, observed: str, strict: bool, few: bool = False) -> DataFrame:
+    def _score(self, pairs: DataFrame, observed: DataFrame | None, strict: bool, small_observed: bool = False) -> DataFrame:
         return scoring.score_pairs(
-            pairs, self.rows, self.cols, self.scalars["d"], self.scalars["n_rows"], self.scalars["n_cols"],
-            self.cells if observed == "passthrough" else None, strict,
+            pairs, self.rows, self.cols, self.scalars["d"], self.scalars["n_rows"], self.scalars["n_cols"], observed, strict,
             self._value("min_value"), self._value("max_value"),
-            self._small(self.rows, self.scalars["row_ids"]), self._small(self.cols, self.scalars["col_ids"]), few)
+            self._small(self.rows, self.scalars["row_ids"]), self._small(self.cols, self.scalars["col_ids"]), small_observed)
+
+    def _stored(self) -> DataFrame | None:
+        return self.cells if self._value("observed") == "passthrough" else None
+
+    def index_cells(self, n_buckets: int | None = None, hot_cells: int = lookup.HOT_CELLS) -> lookup.CellIndex:
+        """Write the observed cells once more, bucketed by row and sorted; ``predict_few`` and ``predict`` then use that."""
+        scratch = Scratch(self.cells.sparkSession, "index")
+        self.index = lookup.CellIndex.build(self.cells, scratch, self.scalars["nnz"], n_buckets, hot_cells)
+        return self.index
+
+    def predict_few(self, pairs: DataFrame) -> DataFrame:
+        """``transform`` for a request that is small beside the cells: none of them is shuffled.
+
+        The request's keys are written once and counted. If they can be broadcast (16 bytes a pair within
+        ``broadcast_bytes``), the observed ones among them are looked up in the index (see ``index_cells``), or by one scan
+        of the cells if there is none, and broadcast; a larger request takes the join of ``transform``. The rows
+        are the same either way.
+        """
+        names = {self._value("row_col"): "row_id", self._value("col_col"): "col_id"}
+        renamed = pairs.withColumnsRenamed(names)
+        validate.check_requests(renamed)
+        most = self._value("broadcast_bytes") // 16
+        if self._stored() is None:
+            return self.transform(pairs)
+        asked, seen = Scratch(pairs.sparkSession, "request").write_observed(
+            renamed.select(*KEYS).limit(most + 1), "keys", n="count(1)")
+        if seen["n"] > most:
+            return self.transform(pairs)
+        scored = self._score(renamed, self._found(asked), self._value("strict"), True)
+        return scored.withColumnsRenamed({new: old for old, new in names.items()})
+
+    def _found(self, asked: DataFrame) -> DataFrame:
+        return self.index.find(asked) if self.index else lookup.find_by_scan(self.cells, asked)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         names = {self._value("row_col"): "row_id", self._value("col_col"): "col_id"}
         pairs = dataset.withColumnsRenamed(names)
         validate.check_requests(pairs)
-        scored = self._score(pairs, self._value("observed"), self._value("strict"))
+        scored = self._score(pairs, self._stored(), self._value("strict"))
         return scored.withColumnsRenamed({new: old for old, new in names.items()})
 
     def predict(self, row_ids: int | Sequence[int], col_ids: int | Sequence[int]) -> float | np.ndarray:
@@ -393,13 +426,14 @@ class CompletionModel(Model, _CompletionParams):
         data = [(pos, int(r), int(c)) for pos, (r, c) in enumerate(zip(rows, cols))]
         pairs = self.rows.sparkSession.createDataFrame(data, "pos bigint, row_id bigint, col_id bigint")
         few = 16 * len(data) <= self._value("broadcast_bytes")
-        scored = self._score(pairs, self._value("observed"), False, few).orderBy("pos").collect()
+        stored = self._stored()
+        scored = self._score(pairs, self._found(pairs) if few and stored is not None else stored, False, few).orderBy("pos").collect()
         out = np.array([r["prediction"] for r in scored])
         return float(out[0]) if single else out
 
     def fitted(self) -> DataFrame:
         """Training cells with the model's own value for each, never the stored one."""
-        return self._score(self.cells, "model", False).drop("source")
+        return self._score(self.cells, None, False).drop("source")
 
     def train_rmse(self) -> float:
         """Over the observed cells; the same in centered and in rating units, since scales are 1.

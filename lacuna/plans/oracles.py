@@ -441,6 +441,9 @@ def oracles() -> dict[str, str]:
             "WHEN value IS NOT NULL THEN 'observed' ELSE 'model' END AS source FROM requests CROSS JOIN shape "
             "LEFT JOIN cells USING (row_id, col_id) LEFT JOIN fu USING (row_id) LEFT JOIN fv USING (col_id) "
             "LEFT JOIN a1 USING (row_id) LEFT JOIN b1 USING (col_id)")),
+        "predict_few": saved_model(),
+        "cell_lookup": sql(CP, REQUESTS, select=(
+            "SELECT row_id, col_id, value FROM cells WHERE (row_id, col_id) IN (SELECT (row_id, col_id) FROM requests)")),
         "train_rmse": sql(*FACTORS, select=(
             f"SELECT {rnd(f'sqrt(avg(power(value - ({XHAT}), 2)))')} AS rmse FROM cells "
             "JOIN fu USING (row_id) JOIN fv USING (col_id)")),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.vectors import array_scale, pack
-from lacuna.operators import factors, index, metrics, products, sampling, scaling, scoring, split, validate
+from lacuna.operators import factors, index, lookup, metrics, products, sampling, scaling, scoring, split, validate
 from lacuna.plans import tuning
 from lacuna.plans.estimators import BiScale, CompletionModel, SoftImpute, SoftImputeALS
 from lacuna.plans.solvers import LowRank, Settings, half_step, start
@@ -382,6 +382,23 @@ def predict_pairs(spark, folder):
     return rounded(scoring.score_pairs(_requests(spark, folder), rows, cols, [3.0, 2.0], n_rows, n_cols, cells))
 
 
+@query
+def predict_few(spark, folder):
+    """Scores of the requests by a saved-cells lookup instead of a join with all cells; the fit of ``model_roundtrip``."""
+    model = _rank1_estimator(SoftImputeALS, max_iters=3).fit(cells_of(spark, folder))
+    model.index_cells(n_buckets=16, hot_cells=200)
+    return rounded(model.predict_few(_requests(spark, folder)), 4)
+
+
+@query
+def cell_lookup(spark, folder):
+    """The observed cells among the requests, by the bucketed and sorted table."""
+    scratch = Scratch(spark, "lookup")
+    cells = scratch.write(cells_of(spark, folder), "cells")
+    found = lookup.CellIndex.build(cells, scratch, n_buckets=16, hot_cells=200)
+    return found.find(scratch.write(_requests(spark, folder).select(*R.KEYS), "requests"))
+
+
 @query
 def train_rmse(spark, folder):
     cells = cells_of(spark, folder)
