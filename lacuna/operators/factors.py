@@ -215,16 +215,16 @@ def gaussian_start(rank: int, seed: int, key: str = "row_id", prefix: str = "f")
     return [f"sqrt(-2 * ln({uniform(k, 0)})) * cos(2 * pi() * {uniform(k, 1)}) AS {prefix}{k}" for k in range(rank)]
 
 
-def integer_start(rank: int, key: str = "row_id", prefix: str = "f") -> list[str]:
+def integer_start(rank: int, key: str = "row_id", prefix: str = "f", seed: int = 0) -> list[str]:
     """Start entries by integer arithmetic, the same in every SQL engine."""
-    return [f"(({key} * 7919 + {k * 104729 + 31}) % 1000) / 1000D - 0.5D AS {prefix}{k}" for k in range(rank)]
+    return [f"(({key} * 7919 + {k * 104729 + 31 + seed * 3571}) % 1000) / 1000D - 0.5D AS {prefix}{k}" for k in range(rank)]
 
 
 def start_entries(init: str, rank: int, seed: int, key: str = "row_id", prefix: str = "f") -> list[str]:
     if init == "gaussian":
         return gaussian_start(rank, seed, key, prefix)
     if init == "integer":
-        return integer_start(rank, key, prefix)
+        return integer_start(rank, key, prefix, seed)
     raise ValueError(f"unknown start {init}")
 
 

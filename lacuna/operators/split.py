@@ -40,9 +40,11 @@ def leave_n_out(cells: DataFrame, n_holdout: int, min_support: int | None = None
     """
     minimum = n_holdout if min_support is None else min_support
     scratch = Scratch(cells.sparkSession, "split")
-    # The cells and the held-out ones are written once: both sides of the split read them, several times.
+    # Cells, clipped and held-out ones are written once each: what follows reads them several times.
     cells = scratch.write(cells.select(*KEYS, "value"), "cells")
-    test = scratch.write(exact_sample(support_clip(cells, minimum), n_holdout, seed).select(*KEYS, "value"), "test")
+    clipped, seen = scratch.write_observed(support_clip(cells, minimum).select(*KEYS, "value"), "clipped", n="count(1)")
+    test = scratch.write(exact_sample(clipped, n_holdout, seed, n_cells=seen["n"]).select(*KEYS, "value"), "test")
+    scratch.drop("clipped")
     held = test.select(*KEYS)
     if n_holdout <= BROADCAST_ROWS:
         held = F.broadcast(held)

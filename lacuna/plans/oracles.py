@@ -88,11 +88,11 @@ VIEWS = (
 # Rank-1 steps: the thin SVD of a single vector b is |b| and b / |b|.
 
 
-def rank1_start(source: str, by: str = "") -> list[str]:
+def rank1_start(source: str, by: str = "", entry: str = start("row_id", 0)) -> list[str]:
     norm = f"sum(f * f) OVER (PARTITION BY {by.rstrip(', ')})" if by else "sum(f * f) OVER ()"
     return [
         f"u0 AS MATERIALIZED (SELECT {by}row_id, f / sqrt({norm}) AS u FROM "
-        f"(SELECT DISTINCT {by}row_id, {start('row_id', 0)} AS f FROM {source}))",
+        f"(SELECT DISTINCT {by}row_id, {entry} AS f FROM {source}))",
         f"d0 AS MATERIALIZED (SELECT DISTINCT {by}1e0 AS d FROM {source})" if by else "d0 AS (SELECT 1e0 AS d)",
     ]
 
@@ -100,9 +100,9 @@ def rank1_start(source: str, by: str = "") -> list[str]:
 class Rank1:
     """Writes one common table expression per half step."""
 
-    def __init__(self, source: str, lam: str = LAM, by: str = ""):
+    def __init__(self, source: str, lam: str = LAM, by: str = "", entry: str = start("row_id", 0)):
         self.source, self.lam, self.by = source, lam, by
-        self.ctes = rank1_start(source, by)
+        self.ctes = rank1_start(source, by, entry)
         self.u, self.v, self.d = "u0", None, "d0"
         self.count = 0
 
@@ -280,22 +280,45 @@ def center_results(select: str) -> str:
     return sql(*ctes, select=select)
 
 
-def grid_best() -> str:
-    fit = Rank1("train", "lam", "fold, lam, ").als(1)
-    return sql(
+def grid(iterations: int, fold: str) -> list[str]:
+    """Errors per fold and shrinkage, all fitted at once, as the table ``scored``."""
+    fit = Rank1("train", "lam", "fold, lam, ").als(iterations)
+    return [
         CP,
-        f"data AS MATERIALIZED (SELECT lam, row_id, col_id, value, {FOLD} AS own FROM cells "
+        f"folds AS MATERIALIZED (SELECT row_id, col_id, value, {fold} AS own FROM cells)",
+        "data AS MATERIALIZED (SELECT lam, row_id, col_id, value, own FROM folds "
         "CROSS JOIN (VALUES (0.02e0), (10e0), (400e0)) g(lam))",
         "train AS MATERIALIZED (SELECT t AS fold, lam, row_id, col_id, value FROM data CROSS JOIN range(3) r(t) WHERE own <> t)",
         *fit.ctes,
         "scored AS (SELECT own, x.lam AS lam, avg(power(value - coalesce(u.u * d.d * v.v, 0), 2)) AS mse FROM data x "
         f"LEFT JOIN {fit.d} d ON d.fold = x.own AND d.lam = x.lam "
         f"LEFT JOIN {fit.u} u ON u.fold = x.own AND u.lam = x.lam AND u.row_id = x.row_id "
-        f"LEFT JOIN {fit.v} v ON v.fold = x.own AND v.lam = x.lam AND v.col_id = x.col_id GROUP BY own, x.lam)",
-        select=f"SELECT 1e0 AS max_rank, lam AS shrinkage_value, {rnd('avg(mse)', 4)} AS mse FROM scored "
+        f"LEFT JOIN {fit.v} v ON v.fold = x.own AND v.lam = x.lam AND v.col_id = x.col_id GROUP BY own, x.lam)"]
+
+
+def grid_best() -> str:
+    return sql(*grid(1, FOLD), select=f"SELECT 1e0 AS max_rank, lam AS shrinkage_value, {rnd('avg(mse)', 4)} AS mse FROM scored "
                "GROUP BY lam ORDER BY avg(mse), lam LIMIT 1")
 
 
+def grid_scores() -> str:
+    return sql(*grid(30, "ntile(3) OVER (ORDER BY row_id, col_id) - 1"), select=(
+        f"SELECT 1e0 AS max_rank, lam AS shrinkage_value, {rnd('avg(mse)', 4)} AS mse FROM scored GROUP BY lam"))
+
+
+def imputations_of_fits() -> str:
+    fit = Rank1("runs", by="run, ", entry="((row_id * 7919 + 31 + run * 3571) % 1000) / 1000e0 - 0.5e0").als(3)
+    return sql(
+        CP, *PASS2, residual("x", "a2", "b2"),
+        "runs AS MATERIALIZED (SELECT run, row_id, col_id, value FROM x CROSS JOIN range(3) r(run))", *fit.ctes, SHAPE, REQUESTS,
+        "asked AS (SELECT run, row_id, col_id, n_rows, n_cols FROM (SELECT DISTINCT row_id, col_id FROM requests) "
+        "CROSS JOIN shape CROSS JOIN range(3) r(run))",
+        f"scored AS (SELECT row_id, col_id, CASE WHEN ({STATUS}) = 'ok' THEN coalesce(u.u * d.d * v.v, 0) + coalesce(a2.center, 0) "
+        f"+ coalesce(b2.center, 0) END AS prediction FROM asked JOIN {fit.d} d USING (run) LEFT JOIN {fit.u} u USING (run, row_id) "
+        f"LEFT JOIN {fit.v} v USING (run, col_id) LEFT JOIN a2 USING (row_id) LEFT JOIN b2 USING (col_id))",
+        select=f"SELECT row_id, col_id, {rnd('avg(prediction)', 4)} AS prediction, count(*) AS runs FROM scored GROUP BY 1, 2")
+
+
 def product(key: str, mult: str, m: str, low: str, l: str, other_low: str, o: str, other: str) -> str:
     """``x m + low (other_low^T m)`` per key, two columns."""
     sums = ", ".join(f"sum(value * m.{m}{k}) AS s{k}" for k in (0, 1))
@@ -459,6 +482,8 @@ def oracles() -> dict[str, str]:
             rnd(f"coalesce(abs({m} - lag({m}) OVER (PARTITION BY model ORDER BY max_iter)), {m})") + f" AS {m}_change"
             for m in ("rmse", "train_rmse")) + " FROM averages"),
         "grid_best": grid_best(),
+        "grid_scores": grid_scores(),
+        "imputations_of_fits": imputations_of_fits(),
 
         "init_factors": sql(CP, *rank1_start("cells"), select=f"SELECT row_id, {rnd('u', 8)} AS u0 FROM u0"),
         "als_a_step": als_steps(1),

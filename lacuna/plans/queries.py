@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.vectors import array_scale, pack
 from lacuna.operators import factors, index, lookup, metrics, products, sampling, scaling, scoring, split, validate
 from lacuna.plans import tuning
-from lacuna.plans.estimators import BiScale, CompletionModel, SoftImpute, SoftImputeALS
+from lacuna.plans.estimators import BiScale, CompletionModel, SoftImpute, SoftImputeALS, multiple_imputations
 from lacuna.plans.solvers import LowRank, Settings, half_step, start
 from lacuna.session import Scratch
 from lacuna.sources import ratings as R
@@ -190,7 +190,7 @@ def inverse_transform(spark, folder):
 
 @query
 def ratings_sample(spark, folder):
-    return sampling.exact_sample(cells_of(spark, folder), 5000, 2)
+    return sampling.exact_sample(Scratch(spark, "cells").write(cells_of(spark, folder), "cells"), 5000, 2)
 
 
 def planted_defects(spark, folder):
@@ -485,6 +485,22 @@ def grid_best(spark, folder):
     return rounded(metrics.grid_best(scores, ["max_rank", "shrinkage_value"]), 4)
 
 
+@query
+def grid_scores(spark, folder):
+    """The whole grid at rank 1 with the reference's 30 iterations and contiguous folds."""
+    estimator = SoftImputeALS(max_iters=30, convergence_threshold=0.0, init="integer", center=False)
+    _, scores = tuning.grid_search(estimator, cells_of(spark, folder), {"max_rank": [1], "shrinkage_value": [0.02, 10.0, 400.0]})
+    return rounded(scores, 4)
+
+
+@query
+def imputations_of_fits(spark, folder):
+    """The mean of three fits from different starts, made side by side, for every request inside the shape."""
+    pairs = _requests(spark, folder).select(*R.KEYS).distinct()
+    found = multiple_imputations(_rank1_estimator(SoftImputeALS, max_iters=3, observed="model"), cells_of(spark, folder), pairs, [0, 1, 2])
+    return rounded(found, 4)
+
+
 # Half steps and fits at rank 1
 
 
@@ -633,7 +649,7 @@ def soft_impute_fit(spark, folder):
 
 @query
 def grid_search(spark, folder):
-    estimator = SoftImputeALS(max_iters=2)
+    estimator = SoftImputeALS(max_iters=30)
     _, scores = tuning.grid_search(estimator, cells_of(spark, folder),
                                    {"max_rank": [10, 20], "shrinkage_value": [0.02, 10.0]})
     return scores

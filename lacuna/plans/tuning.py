@@ -38,9 +38,10 @@ def fit_and_score(estimator: SoftImputeALS, split: Split) -> tuple[CompletionMod
     return model, scored, mse, model.train_rmse()
 
 
-def with_folds(cells: DataFrame, folds: int, kind: str = "contiguous") -> DataFrame:
-    """Cells with a ``fold`` column, written once because every fold reads it."""
-    table, seen = Scratch(cells.sparkSession, "folds").write_observed(cells.select(*KEYS, "value"), "cells", n="count(*)")
+def with_folds(cells: DataFrame, folds: int, kind: str = "contiguous", scratch: Scratch | None = None) -> DataFrame:
+    """Cells with a ``fold`` column. They are written once because every fold reads them; the fold is a projection."""
+    scratch = scratch or Scratch(cells.sparkSession, "folds")
+    table, seen = scratch.write_observed(cells.select(*KEYS, "value"), "folds", n="count(*)")
     return contiguous_folds(table, folds, seen["n"]) if kind == "contiguous" else hash_folds(table, folds)
 
 
@@ -53,14 +54,17 @@ def grid_search(estimator: Estimator, cells: DataFrame, grid: dict[str, Sequence
     """Cross-validated mean squared error per grid point; the smallest wins.
 
     Every fold sees the full shape, so that a row or column missing from the training part is
-    scored by its centers and not refused. The grid points of a fold share one centered matrix.
+    scored by its centers and not refused. The grid points of a fold share one centered matrix, and ``SoftImputeALS`` fits
+    them side by side: an iteration passes over the cells of the fold twice, whatever the number of points.
     """
     n_rows, n_cols = shape_of(cells)
     shown = estimator.getOrDefault("observed")
     # The cells of a fold are not in its training part, so there is no stored value to look up.
     estimator = estimator.copy({estimator.getParam("n_rows"): n_rows, estimator.getParam("n_cols"): n_cols,
                                 estimator.getParam("observed"): "model"})
-    found, scores = _cross_validate(estimator, with_folds(cells, folds, kind), grid, folds, parallelism)
+    scratch = Scratch(cells.sparkSession, "grid")
+    found, scores = _cross_validate(estimator, with_folds(cells, folds, kind, scratch), grid, folds, parallelism)
+    scratch.drop("folds")
     found.bestModel.set(found.bestModel.getParam("observed"), shown)
     return found, scores
 
@@ -126,7 +130,7 @@ def comparator_fit(split: Split, rank: int = 8, max_iter: int = 50, reg: float =
 
 
 def comparator_grid(cells: DataFrame, ranks: Sequence[int] = (10, 20), regs: Sequence[float] = (0.02, 10.0),
-                    max_iter: int = 10, folds: int = 3, parallelism: int = 4,
+                    max_iter: int = 30, folds: int = 3, parallelism: int = 4,
                     kind: str = "contiguous") -> tuple[CrossValidatorModel, DataFrame]:
     """The comparator's grid on the same folds as ``grid_search``, scored on every held-out cell."""
     data = comparator_input(with_folds(cells, folds, kind))
