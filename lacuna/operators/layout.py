@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lacuna.session import Scratch
 
-Attach = Callable[[DataFrame, DataFrame, str], DataFrame]
+Attach = Callable[..., DataFrame]
 
 BROADCAST_BYTES = 64 << 20
 CELLS_PER_PARTITION = 1_000_000
@@ -29,9 +29,9 @@ MAX_HOT_KEYS = 100_000
 OTHER = {"row_id": "col_id", "col_id": "row_id"}
 
 
-def plain_attach(cells: DataFrame, side: DataFrame, key: str) -> DataFrame:
+def plain_attach(cells: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join a per-key table and leave the strategy to the optimizer."""
-    return cells.join(side, key)
+    return cells.join(side, key, how)
 
 
 def table_bytes(side: DataFrame, rows: int) -> int:
@@ -123,16 +123,16 @@ class Layout:
             return self.placed_by(group)
         return self.placed_by(OTHER[group])
 
-    def attach(self, cells: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    def attach(self, cells: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
         """Join a per-key table to cells: broadcast if small, else hash join on key and salt."""
         if self.fits(side, key):
-            return cells.join(F.broadcast(side), key)
+            return cells.join(F.broadcast(side), key, how)
         keys = self._keys(key)
         if len(keys) > 1 and keys[1] in cells.columns:
             copies = F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")).alias(keys[1])
             side = side.join(F.broadcast(self.hot[key]), key, "left").select(*side.columns, copies)
-            return cells.join(side.hint("shuffle_hash"), keys)
-        return cells.join(side.hint("shuffle_hash"), key)
+            return cells.join(side.hint("shuffle_hash"), keys, how)
+        return cells.join(side.hint("shuffle_hash"), key, how)
 
     def attach_grouped(self, groups: DataFrame, side: DataFrame, key: str) -> DataFrame:
         """Join two per-key tables, one row per key on both sides."""

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lacuna.functions.vectors import array_dot, columns, combine, dot, number, pack, unpack
 from lacuna.operators.factors import cross_gram
 from lacuna.operators.layout import OTHER, Attach, plain_attach
+from lacuna.session import Scratch, read
 
 
 def grouped_sums(cells: DataFrame, group: str, value: str, names: list[str]) -> DataFrame:
@@ -96,11 +97,33 @@ def fitted_cells(cells: DataFrame, row_factors: DataFrame, col_factors: DataFram
             .withColumn("xhat", F.coalesce(array_dot("u", "v", rank), F.lit(0.0))).drop("u", "v"))
 
 
+def _checked(cells: DataFrame, other: DataFrame, name: str, key: str, rank: int) -> DataFrame:
+    """Cells with the vector of their ``key`` as ``p0, p1, ...``; one without a vector of that width fails the job."""
+    refused = f"raise_error(concat('no vector of width {rank} for {key} ', {key}))"
+    vector = f"CASE WHEN size(_vector) = {rank} THEN _vector ELSE {refused} END"
+    joined = plain_attach(cells, other.selectExpr(key, f"{name} AS _vector"), key, "left")
+    return joined.withColumn("_vector", F.expr(vector)).selectExpr("*", *unpack("_vector", "p", rank))
+
+
+def counted_product(cells: DataFrame, group: str, other: DataFrame, name: str, rank: int, scratch: Scratch,
+                    attach: Attach = plain_attach, out: str = "product") -> tuple[DataFrame, dict]:
+    """``sum value * vector`` per group, written, and how many cells had a vector or not, counted in the same job.
+
+    For callers that go on without the cells whose key has no vector and want to know what is missing; ``attach`` may be a
+    layout's, so that placed and salted cells stay where they are.
+    """
+    key, p = OTHER[group], columns("p", rank)
+    joined = attach(cells, other.selectExpr(key, *unpack(name, "p", rank)), key, "left")
+    seen, wanted = Observation(), [F.expr(f"count_if({p[0]} IS NULL)").alias("unmatched"), F.count("*").alias("cells")]
+    sums = grouped_sums(joined.observe(seen, *wanted).where(f"{p[0]} IS NOT NULL"), group, "value", p)
+    table = scratch.write(sums.selectExpr(group, pack(columns("s", rank), out)), f"product_{group}")
+    return table, read(seen, joined, wanted)
+
+
 def _sparse_plus_low_rank(cells: DataFrame, group: str, low: DataFrame | None, low_name: str,
                           small: np.ndarray | None, other: DataFrame, other_name: str, out: str,
                           rank: int) -> DataFrame:
-    sparse = grouped_sums(plain_attach(cells, other.selectExpr(OTHER[group], *unpack(other_name, "p", rank)),
-                                       OTHER[group]), group, "value", columns("p", rank))
+    sparse = grouped_sums(_checked(cells, other, other_name, OTHER[group], rank), group, "value", columns("p", rank))
     names = columns("s", rank)
     if low is None:
         return sparse.selectExpr(group, pack(names, out))
@@ -115,7 +138,8 @@ def right_multiply(cells: DataFrame, other: DataFrame, rank: int, a: DataFrame |
     """``(x + a b^T) V`` per row: the sparse product plus ``a (b^T V)``.
 
     ``other`` is ``(col_id, v)``, ``a`` is ``(row_id, a)``, ``b`` is ``(col_id, b)``; only the
-    rank-by-rank matrix ``b^T V`` reaches the driver.
+    rank-by-rank matrix ``b^T V`` reaches the driver. A cell whose column has no vector, or one of another width, is an
+    error of the job that computes the product.
     """
     small = None if a is None else cross_gram(b, other, "col_id", "b", "v", rank)
     return _sparse_plus_low_rank(cells, "row_id", a, "a", small, other, "v", "product", rank)

@@ -332,6 +332,29 @@ def product(key: str, mult: str, m: str, low: str, l: str, other_low: str, o: st
         select=f"SELECT {key}, {out} FROM sp JOIN {low} l USING ({key}) CROSS JOIN sm")
 
 
+def orphans() -> str:
+    parts, tables = [], []
+    for key, group, letter in (("col_id", "row_id", "v"), ("row_id", "col_id", "u")):
+        few = f"few_{letter}"
+        tables += [f"{few} AS MATERIALIZED (SELECT * FROM cells WHERE {key} IN (SELECT {key} FROM cells GROUP BY 1 HAVING count(*) >= {SUPPORT}))",
+                   given(f"f{letter}", key, letter, source=few)]
+        sums = ", ".join(rnd(f"sum(value * {letter}{k})", 9) + f" AS p{k}" for k in (0, 1))
+        parts.append(f"SELECT '{group}' AS side, {group} AS id, {sums}, (SELECT count(*) FROM cells) - (SELECT count(*) FROM {few}) "
+                     f"AS unmatched, (SELECT count(*) FROM cells) AS cells FROM cells JOIN f{letter} USING ({key}) GROUP BY {group}")
+    return sql(CP, *tables, select=" UNION ALL ".join(parts))
+
+
+def trial_sizes() -> str:
+    """The rows of a tuned trial: both methods on the same split."""
+    return sql(
+        CP, smallest_hash("s", "cells", 10000, 0),
+        "r AS MATERIALIZED (SELECT * FROM s WHERE row_id IN (SELECT row_id FROM s GROUP BY 1 HAVING count(*) >= 3))",
+        "clip AS MATERIALIZED (SELECT * FROM r WHERE col_id IN (SELECT col_id FROM r GROUP BY 1 HAVING count(*) >= 3))",
+        smallest_hash("test", "clip", 3, 31),
+        select="SELECT model, 8::INT AS max_iter, 0::INT AS trial, (SELECT count(*) FROM s) - (SELECT count(*) FROM test) AS n_train, "
+               "(SELECT count(*) FROM test) AS n_test, 1::INT AS complete FROM (VALUES ('soft_impute_als'), ('ridge_als')) m(model)")
+
+
 FACTORS = (CP, given("fu", "row_id", "u"), given("fv", "col_id", "v"))
 XHAT = "3e0 * u0 * v0 + 2e0 * u1 * v1"
 SVD = (
@@ -452,6 +475,7 @@ def oracles() -> dict[str, str]:
                    "0::BIGINT AS missing_rows, n AS missing_cols, (n = 0)::BIGINT AS conforms FROM miss"),
         "sddmm": sql(*FACTORS, select=(
             f"SELECT row_id, col_id, value, {rnd(XHAT)} AS xhat FROM cells JOIN fu USING (row_id) JOIN fv USING (col_id)")),
+        "product_orphans": orphans(),
         "splr_r_mult": product("row_id", "fv", "v", "fa", "a", "fb", "b", "col_id"),
         "splr_l_mult": product("col_id", "fu", "u", "fb", "b", "fa", "a", "row_id"),
 
@@ -496,6 +520,9 @@ def oracles() -> dict[str, str]:
         "als_rank1_raw": fitted_cells(Rank1("cells").als(3), False),
         "als_rank1_default": fitted_cells(Rank1("x", "0.02e0").als(3), True),
         "model_roundtrip": saved_model(),
+        "comparison_tuned": trial_sizes(),
+        "comparator_error": sql(*SPLIT, select="SELECT row_id, col_id, value, 1::INT AS scored, 1::INT AS error_agrees FROM test"),
         "fit_and_score": fit_and_score(),
     }
+    out["load_and_split_csv"] = out["load_and_split"]
     return out

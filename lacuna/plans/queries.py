@@ -356,6 +356,20 @@ def splr_l_mult(spark, folder):
     return rounded(out.select("col_id", F.expr("product[0] AS p0"), F.expr("product[1] AS p1")), 9)
 
 
+@query
+def product_orphans(spark, folder):
+    """Products with vectors for the well-supported ids only: per group the product, and how many cells had no vector."""
+    cells, out = cells_of(spark, folder), None
+    scratch = Scratch(spark, "orphans")
+    for key, group, letter in (("col_id", "row_id", "v"), ("row_id", "col_id", "u")):
+        supported = split.support_filter(cells, key, SUPPORT)
+        table, seen = products.counted_product(cells, group, given_factors(supported, key, letter), letter, 2, scratch)
+        one = table.select(F.lit(group).alias("side"), F.col(group).alias("id"), F.expr("product[0] AS p0"),
+                           F.expr("product[1] AS p1"), F.lit(seen["unmatched"]).alias("unmatched"), F.lit(seen["cells"]).alias("cells"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 9)
+
+
 # Scoring and errors
 
 
@@ -667,11 +681,48 @@ def mllib_als_grid(spark, folder):
     return tuning.comparator_grid(cells_of(spark, folder))[1]
 
 
+@query
+def comparator_error(spark, folder):
+    """The comparator's scores of the held-out cells and their error."""
+    parts = _split(spark, folder)[1]
+    scored, mse, _ = tuning.comparator_fit(parts, rank=8, max_iter=50)
+    scratch = Scratch(spark, "scored")
+    scored = scratch.write(scored.select(*R.KEYS, "value", "prediction"), "cells")
+    again = metrics.mean_squared_error(scored, "value", "prediction").first()["mse"]
+    finite = F.expr("int(prediction IS NOT NULL AND NOT isnan(prediction))")
+    return scored.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("col_id").cast("bigint").alias("col_id"), "value",
+                         finite.alias("scored"), F.lit(int(abs(mse - again) < 1e-9 * again)).alias("error_agrees"))
+
+
+def _trial(spark, folder, sample, label):
+    cells = Scratch(spark, label).write(cells_of(spark, folder), "cells")
+    return lambda trial: tuning.load_and_split(cells, sample, leave_n=3, seed=trial)
+
+
 @query
 def comparison_run(spark, folder):
-    cells = Scratch(spark, "compare").write(cells_of(spark, folder), "cells")
-    return tuning.comparison_run(lambda trial: split.leave_n_out(cells, HOLDOUT, SUPPORT, seed=trial),
-                                 budgets=(1, 2), rank=10, shrinkage=9.0)
+    """Seconds and errors of three methods for budgets of 1 to 5 iterations on 1,000 ratings, rank 10 and penalty 9."""
+    return tuning.comparison_run(_trial(spark, folder, 1_000, "compare"), Scratch(spark, "compare").path("results"),
+                                 settings=dict.fromkeys(tuning.CONTESTANTS, (10, 9.0)))
+
+
+@query
+def comparison_tuned(spark, folder):
+    """One trial of the tuned comparison on 10,000 ratings, 8 iterations: what was run, without the errors and seconds."""
+    found = tuning.comparison_run(_trial(spark, folder, 10_000, "tuned"), Scratch(spark, "tuned").path("results"), budgets=(8,),
+                                  contestants=("soft_impute_als", "ridge_als"), iterations=8)
+    return found.select("model", "max_iter", "trial", "n_train", "n_test",
+                        F.expr("int(rank IN (10, 20) AND penalty IN (0.02, 10.0) AND mse > 0 AND train_rmse > 0)").alias("complete"))
+
+
+@query
+def load_and_split_csv(spark, folder):
+    """``load_and_split`` from a written CSV file."""
+    path = Scratch(spark, "csv").path("ratings")
+    cells_of(spark, folder).select(F.col("row_id").alias("userId"), F.col("col_id").alias("movieId"),
+                                   F.col("value").cast("double").alias("rating")).write.option("header", True).csv(path)
+    parts = tuning.load_and_split_file(spark, path, 10_000, leave_n=3, seed=2)
+    return parts.train.withColumn("part", F.lit("train")).unionByName(parts.test.withColumn("part", F.lit("test")))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,16 +9,16 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.operators import metrics
 from lacuna.operators.index import contiguous_folds, hash_folds
 from lacuna.operators.sampling import exact_sample
 from lacuna.operators.split import Split, leave_n_out
-from lacuna.plans.estimators import CompletionModel, SoftImputeALS
+from lacuna.plans.estimators import CompletionModel, SoftImpute, SoftImputeALS
 from lacuna.session import Scratch
-from lacuna.sources.ratings import KEYS, assemble
+from lacuna.sources.ratings import KEYS, assemble, read_ratings_csv
 
 MAX_COMPARATOR_ID = 2 ** 31 - 1
 
@@ -137,24 +137,71 @@ def comparator_grid(cells: DataFrame, ranks: Sequence[int] = (10, 20), regs: Seq
     return _cross_validate(comparator(max_iter=max_iter), data, {"rank": ranks, "regParam": regs}, folds, parallelism)
 
 
-def comparison_run(split_for_trial: Callable[[int], Split], trials: int = 1, budgets: Sequence[int] = (1, 2, 3, 4, 5),
-                   rank: int = 10, shrinkage: float = 9.0) -> DataFrame:
-    """One row per trial, iteration budget and model: seconds, held-out MSE, training RMSE."""
-    rows, spark = [], None
+#: The contestants of ``comparison_run``.
+CONTESTANTS = ("soft_impute_als", "soft_impute", "ridge_als")
+
+
+def tuned(train: DataFrame, iterations: int = 30, ranks: Sequence[int] = (10, 20), penalties: Sequence[float] = (0.02, 10.0),
+          folds: int = 3) -> dict[str, tuple[int, float]]:
+    """Rank and penalty of each method with the smallest cross-validated error on the training cells."""
+    own = grid_search(SoftImputeALS(max_iters=iterations), train, {"max_rank": ranks, "shrinkage_value": penalties}, folds)[1]
+    plain = comparator_grid(train, ranks, penalties, iterations, folds)[1]
+    best = {}
+    for name, scores in (("soft_impute", own), ("ridge_als", plain)):
+        rank, penalty, _ = metrics.grid_best(scores, scores.columns[:2]).first()
+        best[name] = int(rank), float(penalty)
+    return {"soft_impute_als": best["soft_impute"], **best}
+
+
+def comparison_run(split_for_trial: Callable[[int], Split], path: str, trials: int = 1, budgets: Sequence[int] = (1, 2, 3, 4, 5),
+                   settings: dict[str, tuple[int, float]] | None = None, contestants: Sequence[str] = CONTESTANTS,
+                   **tuning: object) -> DataFrame:
+    """One row per trial, iteration budget and model: seconds, held-out MSE, training RMSE, and the sizes and settings.
+
+    Without ``settings`` (rank and penalty per contestant) each trial first tunes both methods on its own training cells, see
+    ``tuned``. The rows of a trial are written below ``path`` when it is done; a run that is started again on the same path
+    goes on with the trials that are missing.
+    """
+    schema = ("model string, max_iter int, trial int, rank int, penalty double, n_train bigint, n_test bigint, seconds double, "
+              "mse double, train_rmse double")
+    spark, done = None, set()
     for trial in range(trials):
         split = split_for_trial(trial)
         spark = split.train.sparkSession
+        if trial == 0:
+            done = _trials_done(spark, path)
+        if trial in done:
+            continue
+        sizes = split.train.count(), split.test.count()
+        chosen = settings or tuned(split.train, **tuning)
+        rows = []
         for budget in budgets:
-            def ours():
-                estimator = SoftImputeALS(max_rank=rank, shrinkage_value=shrinkage, max_iters=budget)
-                return fit_and_score(estimator, split)[2:]
-
-            def baseline():
-                return comparator_fit(split, rank, budget)[1:]
-
-            for name, run in (("soft_impute_als", ours), ("ridge_als", baseline)):
+            for name in contestants:
+                rank, penalty = chosen[name]
                 begin = time.perf_counter()
-                mse, train_rmse = run()
-                rows.append((name, budget, trial, time.perf_counter() - begin, mse, train_rmse))
-    return spark.createDataFrame(
-        rows, "model string, max_iter int, trial int, seconds double, mse double, train_rmse double")
+                if name == "ridge_als":
+                    mse, rmse = comparator_fit(split, rank, budget, penalty)[1:]
+                else:
+                    kind = SoftImpute if name == "soft_impute" else SoftImputeALS
+                    mse, rmse = fit_and_score(kind(max_rank=rank, shrinkage_value=penalty, max_iters=budget), split)[2:]
+                rows.append((name, budget, trial, rank, penalty, *sizes, time.perf_counter() - begin, mse, rmse))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/done={trial}")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path).where(F.col("trial") < trials)
+
+
+def _trials_done(spark: SparkSession, path: str) -> set[int]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return set()
+    found = {int(f.getPath().getName().removeprefix("done=")) for f in files.listStatus(root)
+             if f.getPath().getName().startswith("done=")}
+    # A trial counts once its job has committed.
+    return {t for t in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done={t}/_SUCCESS"))}
+
+
+def load_and_split_file(spark: SparkSession, path: str, sample: int, leave_n: int = 3, seed: int = 0,
+                        min_support: int | None = None) -> Split:
+    """A CSV file of ratings (userId, movieId, rating) to a training matrix and held-out cells in one call."""
+    triples = Scratch(spark, "ratings").write(read_ratings_csv(spark, path), "triples")
+    return load_and_split(triples, sample, leave_n, seed, min_support)
