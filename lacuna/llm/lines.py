@@ -13,7 +13,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def line_key(line: Column) -> Column:
     """White space stripped at both ends, A-Z lower-cased."""
-    return F.translate(F.regexp_replace(line, f"^{BLANK}|{BLANK}$", ""), UPPER, LOWER)
+    # \\z is the very end; $ would also match before a last line separator, which is not white space here.
+    return F.translate(F.regexp_replace(line, f"^{BLANK}|{BLANK}\\z", ""), UPPER, LOWER)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
@@ -51,16 +60,15 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = scratch.write(shared.select("h1", "h2", "keeper"), "shared")
     gone = keys.join(shared, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id", "row").agg(
         F.collect_set("pos").alias("gone"))
-    gone = scratch.write(gone.select(F.col("id").alias("_gone_id"), F.col("row").alias("_gone_row"), "gone"), "gone")
+    id_, row, lost, own, parts = (free_name(n, docs.columns) for n in ("gone_id", "gone_row", "gone_lines", "text_row", "split_lines"))
+    gone = scratch.write(gone.select(F.col("id").alias(id_), F.col("row").alias(row), F.col("gone").alias(lost)), "gone")
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = [F.col(f"_held.{id_col}").eqNullSafe(F.col("_gone_id")), F.col("_text_row") == F.col("_gone_row")]
-    held = docs.drop("n_lines", "n_dropped").withColumn("_text_row", F.xxhash64(body)).alias("_held")
-    joined = held.join(gone.withColumnRenamed("gone", "_gone_lines"), key[0] & key[1], "left")
-    split = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), one)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone_lines"))
-    return (joined.withColumn("_split", split)
-            .withColumn(text_col, F.when(F.col("_gone_lines").isNull(), F.array_join("_split", one)).otherwise(
-                F.array_join(F.transform(kept, lambda i: F.get("_split", i)), one)))
-            .withColumn("n_lines", F.size("_split").cast("long"))
-            .withColumn("n_dropped", F.coalesce(F.size("_gone_lines"), F.lit(0)).cast("long"))
+    held = docs.drop("n_lines", "n_dropped").withColumn(own, F.xxhash64(body))
+    joined = held.join(gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(row)), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))
+    return (joined.withColumn(parts, F.split(body, one))
+            .withColumn(text_col, F.when(F.col(lost).isNull(), F.array_join(parts, one)).otherwise(
+                F.array_join(F.transform(kept, lambda i: F.get(parts, i)), one)))
+            .withColumn("n_lines", F.size(parts).cast("long"))
+            .withColumn("n_dropped", F.coalesce(F.size(lost), F.lit(0)).cast("long"))
             .select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped"))

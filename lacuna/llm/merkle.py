@@ -54,32 +54,34 @@ def tree(leaf: DataFrame, height: int, scratch: Scratch, name: str, span: int =
     return levels
 
 
+def _both(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    return a.alias("a").join(b.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full")
+
+
 def _differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    both = a.alias("a").join(b.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full")
-    return both.where(~F.col("a.digest").eqNullSafe(F.col("b.digest")))
+    return _both(a, b, keys).where(~F.col("a.digest").eqNullSafe(F.col("b.digest")))
 
 
 def audit(replica_a: DataFrame, replica_b: DataFrame, file_col: str = "file", offset_col: str = "at",
           payload_col: str = "payload", span: int = SPAN, fanout: int = FANOUT) -> DataFrame:
-    """Offsets at which two replicas differ: file, at, kind (changed | missing | extra), size_a, size_b, digest_a, digest_b.
+    """Offsets at which two replicas differ: file, at, kind (changed | missing | extra | unplaced), size_a, size_b, digest_a,
+    digest_b, copies_a, copies_b.
 
     Each replica is hashed into one tree per file. Roots are compared first; then, level by level, only the
     children of nodes that differ, and at last the records of ranges that differ. "missing" is in a only.
 
-    A null file is a file of its own. Records with a null or negative offset have no place in a tree and raise
-    an error. Records repeated at one offset are one leaf. Two empty replicas have no differences; other
-    columns are ignored.
+    A null file is a file of its own. Records with a null or negative offset have no place in a tree; they come back
+    as "unplaced", one row per file and such offset with what either replica has there, equal or not. Records repeated at one
+    offset are one leaf, ``copies`` says how many. Two empty replicas have no differences; other columns are ignored.
     """
     scratch = Scratch(replica_a.sparkSession, "merkle")
-    sides, top = [], 0
+    sides, unplaced, top = [], [], 0
     for name, records in (("a", replica_a), ("b", replica_b)):
         leaf, seen = scratch.write_observed(
-            leaves(records, file_col, offset_col, payload_col), f"leaf_{name}", top="max(at)",
-            bad="count_if(at IS NULL OR at < 0)")
-        if seen["bad"]:
-            raise ValueError(f"{seen['bad']} offsets of replica {name} are null or negative")
+            leaves(records, file_col, offset_col, payload_col), f"leaf_{name}", top="max(at)")
         top = max(top, seen["top"] or 0)
-        sides.append(leaf)
+        sides.append(leaf.where("at >= 0"))
+        unplaced.append(leaf.where("at IS NULL OR at < 0"))
     height, reach = 1, span
     while reach <= top:
         height, reach = height + 1, reach * fanout
@@ -96,8 +98,11 @@ def audit(replica_a: DataFrame, replica_b: DataFrame, file_col: str = "file", of
     suspects = scratch.write(suspects, "suspects_0")
     up = F.floor(F.col("n.at") / span)
     found = _differing(below(sides[0], suspects, up), below(sides[1], suspects, up), ["file", "at"])
-    return found.select(
-        F.coalesce("a.file", "b.file").alias("file"), F.coalesce("a.at", "b.at").alias("at"),
-        F.when(F.col("b.digest").isNull(), "missing").when(F.col("a.digest").isNull(), "extra").otherwise("changed")
-        .alias("kind"), F.col("a.size").alias("size_a"), F.col("b.size").alias("size_b"),
-        F.col("a.digest").alias("digest_a"), F.col("b.digest").alias("digest_b"))
+    lost = F.when(F.col("b.digest").isNull(), "missing").when(F.col("a.digest").isNull(), "extra").otherwise("changed")
+    return _told(found, lost).union(_told(_both(*unplaced, ["file", "at"]), F.lit("unplaced")))
+
+
+def _told(both: DataFrame, kind: Column) -> DataFrame:
+    return both.select(
+        F.coalesce("a.file", "b.file").alias("file"), F.coalesce("a.at", "b.at").alias("at"), kind.alias("kind"),
+        *[F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in ("size", "digest", "copies") for side in "ab"])

@@ -163,5 +163,28 @@ def test_fixity(spark):
         assert len(got) == len(want) and set(got) == want
     assert merkle.audit(left, left).count() == 0 == merkle.audit(left.limit(0), left.limit(0)).count()
     assert merkle.audit(left.limit(0), right).where("kind <> 'extra'").count() == 0
-    with pytest.raises(ValueError, match="1 offsets of replica b"):
-        merkle.audit(left, spark.createDataFrame([("f", None, b"", 1)], shape))
+
+
+def test_records_without_a_place_are_told_apart(spark):
+    shape = "file string, at long, payload binary"
+    a = spark.createDataFrame([("f", 0, b"x"), ("f", None, b"a"), ("f", None, b"a"), ("g", -3, b"same"), (None, -1, None)], shape)
+    b = spark.createDataFrame([("f", 0, b"y"), ("f", None, b"a"), ("g", -3, b"same")], shape)
+    got = {(r["file"], r["at"], r["kind"], r["copies_a"], r["copies_b"], r["size_a"], r["size_b"]) for r in merkle.audit(a, b).collect()}
+    assert got == {("f", 0, "changed", 1, 1, 1, 1), ("f", None, "unplaced", 2, 1, 1, 1), ("g", -3, "unplaced", 1, 1, 4, 4),
+                   (None, -1, "unplaced", 1, None, 0, None)}
+    assert merkle.audit(a.where("at IS NULL"), b.limit(0)).select("kind").first()["kind"] == "unplaced"
+
+
+def test_a_line_separator_at_the_end_is_no_white_space(spark):
+    for mark in "\x85\u2028\u2029":
+        docs = [(1, f"other words here {mark}"), (2, f"other words here{mark}"), (3, f" other words here{mark}\t")]
+        got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.drop_shared_lines(
+            spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+        assert got == {1: (docs[0][1], 0), 2: (docs[1][1], 0), 3: ("", 1)}
+
+
+def test_columns_named_like_helpers_stay(spark):
+    df = spark.createDataFrame([(1, "a long shared line\nx", "s", "g", "t", 5), (2, "a long shared line\ny", "s", "g", "t", 6)],
+                               "doc_id bigint, text string, split_lines string, gone_lines string, text_row string, gone_id int")
+    got = lines.drop_shared_lines(df).orderBy("doc_id").collect()
+    assert [tuple(r)[1:6] for r in got] == [("a long shared line\nx", "s", "g", "t", 5), ("y", "s", "g", "t", 6)]

@@ -60,3 +60,11 @@ def test_stages_equal_plain_versions(spark):
 
 def test_run(spark):
     assert P.run(spark, FOLDER).count() > 50 and P.ORACLE_SQL is None
+
+
+def test_a_text_whose_id_repeats_stays_if_it_is_no_copy(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(1, a), (2, a), (2, b), (None, a), (3, b), (4, None), (5, None), (6, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = P.near_dedup(spark, docs, "").collect()
+    assert sorted([(r["doc_id"], r["text"]) for r in got], key=repr) == sorted([(1, a), (2, b), (None, a), (4, None)], key=repr)
