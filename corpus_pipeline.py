@@ -28,12 +28,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; a document without an id stays."""
+    """The document with the smallest id of each group of near-duplicates; a document without an id stays.
+
+    Rows that repeat an id are told apart by their texts: a text goes only if it is itself the copy of an earlier document.
+    """
     share_package(spark)
-    found = simhash.near_duplicates(docs)
-    lost = found.where("id <> component_id").select(F.col("id").alias("_lost")).distinct()
+    last = (1 << 63) - 1
+    named = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("n"),
+                     F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    found = simhash.near_duplicates(docs.select(named.alias("name"), "text"), "name")
+    lost = found.where(f"id <> component_id AND id.n < {last}L").select(
+        F.col("id.n").alias("_lost"), F.col("id.h").alias("_text")).distinct()
     lost = Scratch(spark, "near").write(lost, "lost")
-    return docs.select(*COLUMNS).join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    return docs.select(*COLUMNS).join(
+        lost, (F.col("doc_id") == F.col("_lost")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_text")), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
@@ -49,40 +51,61 @@ def shape_of(cells: DataFrame) -> tuple[int, int]:
     return tuple(cells.agg(F.max("row_id") + 1, F.max("col_id") + 1).first())
 
 
-def grid_search(estimator: Estimator, cells: DataFrame, grid: dict[str, Sequence], folds: int = 3,
+def grid_search(estimator: SoftImputeALS, cells: DataFrame, grid: dict[str, Sequence], folds: int = 3,
                 kind: str = "contiguous", parallelism: int = 4) -> tuple[CrossValidatorModel, DataFrame]:
     """Cross-validated mean squared error per grid point; the smallest wins.
 
     Every fold sees the full shape, so that a row or column missing from the training part is
     scored by its centers and not refused. The grid points of a fold share one centered matrix, and ``SoftImputeALS`` fits
-    them side by side: an iteration passes over the cells of the fold twice, whatever the number of points.
+    them side by side: an iteration passes over the cells of the fold twice, whatever the number of points. Up to
+    ``parallelism`` folds are fitted at a time.
     """
     n_rows, n_cols = shape_of(cells)
     shown = estimator.getOrDefault("observed")
     # The cells of a fold are not in its training part, so there is no stored value to look up.
     estimator = estimator.copy({estimator.getParam("n_rows"): n_rows, estimator.getParam("n_cols"): n_cols,
                                 estimator.getParam("observed"): "model"})
+    maps = _maps(estimator, grid)
     scratch = Scratch(cells.sparkSession, "grid")
-    found, scores = _cross_validate(estimator, with_folds(cells, folds, kind, scratch), grid, folds, parallelism)
+    data = with_folds(cells, folds, kind, scratch)
+
+    def errors(fold: int) -> list[float]:
+        held, out = data.where(F.col("fold") == fold), None
+        for g, model in enumerate(estimator.fit_many(data.where(F.col("fold") != fold).select(*KEYS, "value"), maps)):
+            one = metrics.mean_squared_error(model.transform(held), "value", "prediction").withColumn("point", F.lit(g))
+            out = one if out is None else out.unionByName(one)
+        return [r["mse"] for r in sorted(out.collect(), key=lambda r: r["point"])]
+
+    with ThreadPoolExecutor(min(parallelism, folds)) as pool:
+        found = list(pool.map(inheritable_thread_target(cells.sparkSession)(errors), range(folds)))
+    averages = [sum(column) / folds for column in zip(*found)]
+    best = estimator.fit(data.select(*KEYS, "value"), maps[averages.index(min(averages))])
     scratch.drop("folds")
-    found.bestModel.set(found.bestModel.getParam("observed"), shown)
-    return found, scores
+    best.set(best.getParam("observed"), shown)
+    return CrossValidatorModel(best, averages), _scores(cells.sparkSession, estimator, grid, maps, averages)
 
 
-def _cross_validate(estimator: Estimator, data: DataFrame, grid: dict[str, Sequence], folds: int,
-                    parallelism: int) -> tuple[CrossValidatorModel, DataFrame]:
+def _maps(estimator: Estimator, grid: dict[str, Sequence]) -> list[dict]:
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), list(values))
-    maps = builder.build()
+    return builder.build()
+
+
+def _scores(spark: SparkSession, estimator: Estimator, grid: dict[str, Sequence], maps: list[dict], averages: list[float]) -> DataFrame:
+    rows = [tuple(float(settings[estimator.getParam(name)]) for name in grid) + (float(score),)
+            for settings, score in zip(maps, averages)]
+    return spark.createDataFrame(rows, ", ".join(f"{name} double" for name in grid) + ", mse double")
+
+
+def _cross_validate(estimator: Estimator, data: DataFrame, grid: dict[str, Sequence], folds: int,
+                    parallelism: int) -> tuple[CrossValidatorModel, DataFrame]:
+    maps = _maps(estimator, grid)
     evaluator = RegressionEvaluator(metricName="mse", labelCol="value", predictionCol="prediction")
     search = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds,
                             foldCol="fold", parallelism=parallelism)
     found = search.fit(data)
-    rows = [tuple(float(settings[estimator.getParam(name)]) for name in grid) + (float(score),)
-            for settings, score in zip(maps, found.avgMetrics)]
-    schema = ", ".join(f"{name} double" for name in grid) + ", mse double"
-    return found, data.sparkSession.createDataFrame(rows, schema)
+    return found, _scores(data.sparkSession, estimator, grid, maps, found.avgMetrics)
 
 
 class MeanFilledALS(ALS):
