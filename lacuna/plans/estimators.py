@@ -21,7 +21,7 @@ from lacuna.operators.factors import select_vectors
 from lacuna.operators.layout import BROADCAST_BYTES, CELLS_PER_PARTITION, Layout, table_bytes
 from lacuna.plans.solvers import Settings, Solution, solve_als, solve_nested, squared_errors
 from lacuna.session import Scratch, read
-from lacuna.sources.models import load_tables, save_tables
+from lacuna.sources.models import load_tables, remove_tables, save_tables
 from lacuna.sources.ratings import KEYS, assemble, drop_zeros
 
 
@@ -451,10 +451,16 @@ class CompletionModel(Model, _CompletionParams):
         d = self.scalars["d"]
         return products.fitted_cells(pairs, self.row_factors, self.col_factors, len(d), d)
 
-    def save(self, path: str, overwrite: bool = False) -> None:
+    def save(self, path: str, overwrite: bool = False, store: str | None = None) -> None:
+        """Write the model. Models saved with one ``store`` folder share one copy of equal training cells."""
         settings = {p.name: self.getOrDefault(p) for p in self.params if self.isDefined(p)}
         save_tables(path, {"rows": self.rows, "cols": self.cols, "cells": self.cells},
-                    {**self.scalars, "params": settings}, overwrite)
+                    {**self.scalars, "params": settings}, overwrite, store)
+
+    @staticmethod
+    def remove(path: str, spark: SparkSession | None = None) -> None:
+        """Delete a saved model; shared cells go with the last model that refers to them."""
+        remove_tables(spark or SparkSession.getActiveSession(), path)
 
     @classmethod
     def load(cls, path: str, spark: SparkSession | None = None) -> CompletionModel:

@@ -520,6 +520,7 @@ def oracles() -> dict[str, str]:
         "als_rank1_raw": fitted_cells(Rank1("cells").als(3), False),
         "als_rank1_default": fitted_cells(Rank1("x", "0.02e0").als(3), True),
         "model_roundtrip": saved_model(),
+        "model_store": saved_model(),
         "comparison_tuned": trial_sizes(),
         "comparator_error": sql(*SPLIT, select="SELECT row_id, col_id, value, 1::INT AS scored, 1::INT AS error_agrees FROM test"),
         "fit_and_score": fit_and_score(),

@@ -628,6 +628,17 @@ def model_roundtrip(spark, folder):
     return rounded(CompletionModel.load(path, spark).transform(_requests(spark, folder)), 4)
 
 
+@query
+def model_store(spark, folder):
+    """Two models saved with one store of cells; the second is read after the first is removed."""
+    scratch, estimator = Scratch(spark, "store"), _rank1_estimator(SoftImputeALS, max_iters=3)
+    one, two = estimator.fit_many(cells_of(spark, folder), [{estimator.getParam("shrinkage_value"): x} for x in (1.0, SHRINKAGE)])
+    for name, model in (("one", one), ("two", two)):
+        model.save(scratch.path(name), store=scratch.path("cells"))
+    CompletionModel.remove(scratch.path("one"), spark)
+    return rounded(CompletionModel.load(scratch.path("two"), spark).transform(_requests(spark, folder)), 4)
+
+
 @query
 def fit_and_score(spark, folder):
     parts = _split(spark, folder)[1]
@@ -650,7 +661,7 @@ def fit_and_score_full(spark, folder):
 
 @query
 def als_fit(spark, folder):
-    model = SoftImputeALS(max_rank=10, shrinkage_value=SHRINKAGE, max_iters=5).fit(cells_of(spark, folder))
+    model = SoftImputeALS(max_rank=10, shrinkage_value=SHRINKAGE, max_iters=50).fit(cells_of(spark, folder))
     return model.fitted()
 
 
@@ -702,15 +713,13 @@ def _trial(spark, folder, sample, label):
 @query
 def comparison_run(spark, folder):
     """Seconds and errors of three methods for budgets of 1 to 5 iterations on 1,000 ratings, rank 10 and penalty 9."""
-    return tuning.comparison_run(_trial(spark, folder, 1_000, "compare"), Scratch(spark, "compare").path("results"),
-                                 settings=dict.fromkeys(tuning.CONTESTANTS, (10, 9.0)))
+    return tuning.comparison_run(_trial(spark, folder, 1_000, "compare"), contestants=tuning.CONTESTANTS)
 
 
 @query
 def comparison_tuned(spark, folder):
     """One trial of the tuned comparison on 10,000 ratings, 8 iterations: what was run, without the errors and seconds."""
-    found = tuning.comparison_run(_trial(spark, folder, 10_000, "tuned"), Scratch(spark, "tuned").path("results"), budgets=(8,),
-                                  contestants=("soft_impute_als", "ridge_als"), iterations=8)
+    found = tuning.comparison_run(_trial(spark, folder, 10_000, "tuned"), budgets=(8,), tune=True, iterations=8)
     return found.select("model", "max_iter", "trial", "n_train", "n_test",
                         F.expr("int(rank IN (10, 20) AND penalty IN (0.02, 10.0) AND mse > 0 AND train_rmse > 0)").alias("complete"))
 
@@ -728,5 +737,5 @@ def load_and_split_csv(spark, folder):
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Split the ratings, fit a centered rank-2 model, and score the held-out cells."""
     parts = split.leave_n_out(cells_of(spark, folder), HOLDOUT, SUPPORT)
-    model = SoftImputeALS(max_rank=2, shrinkage_value=SHRINKAGE, max_iters=3).fit(parts.train)
+    model = SoftImputeALS(max_rank=2, shrinkage_value=SHRINKAGE, max_iters=50).fit(parts.train)
     return model.transform(parts.test)

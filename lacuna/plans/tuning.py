@@ -176,14 +176,14 @@ def tuned(train: DataFrame, iterations: int = 30, ranks: Sequence[int] = (10, 20
     return {"soft_impute_als": best["soft_impute"], **best}
 
 
-def comparison_run(split_for_trial: Callable[[int], Split], path: str, trials: int = 1, budgets: Sequence[int] = (1, 2, 3, 4, 5),
-                   settings: dict[str, tuple[int, float]] | None = None, contestants: Sequence[str] = CONTESTANTS,
-                   **tuning: object) -> DataFrame:
+def comparison_run(split_for_trial: Callable[[int], Split], trials: int = 1, budgets: Sequence[int] = (1, 2, 3, 4, 5),
+                   rank: int = 10, shrinkage: float = 9.0, contestants: Sequence[str] = ("soft_impute_als", "ridge_als"),
+                   path: str | None = None, tune: bool = False, **tuning: object) -> DataFrame:
     """One row per trial, iteration budget and model: seconds, held-out MSE, training RMSE, and the sizes and settings.
 
-    Without ``settings`` (rank and penalty per contestant) each trial first tunes both methods on its own training cells, see
-    ``tuned``. The rows of a trial are written below ``path`` when it is done; a run that is started again on the same path
-    goes on with the trials that are missing.
+    With ``tune`` each trial first tunes both methods on its own training cells, see ``tuned``; without, all have ``rank``,
+    and ``shrinkage`` or the comparator's own penalty. The rows of a trial are written below ``path`` when it is done; a run
+    that is started again on the same path goes on with the trials that are missing.
     """
     schema = ("model string, max_iter int, trial int, rank int, penalty double, n_train bigint, n_test bigint, seconds double, "
               "mse double, train_rmse double")
@@ -192,11 +192,13 @@ def comparison_run(split_for_trial: Callable[[int], Split], path: str, trials: i
         split = split_for_trial(trial)
         spark = split.train.sparkSession
         if trial == 0:
+            path = path or Scratch(spark, "comparison").path("trials")
             done = _trials_done(spark, path)
         if trial in done:
             continue
         sizes = split.train.count(), split.test.count()
-        chosen = settings or tuned(split.train, **tuning)
+        chosen = tuned(split.train, **tuning) if tune else {
+            name: (rank, 0.1 if name == "ridge_als" else shrinkage) for name in CONTESTANTS}
         rows = []
         for budget in budgets:
             for name in contestants:
