@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +18,9 @@ WINDOW, EQUAL = 13, 11
 #: Fixed masks; 0 ignores a word. Whichever two words of a window are replaced, one of the masks fits somewhere in
 #: it without touching them, so every overlap has a seed (the tests try all replacements).
 MASKS = ("11010111", "11110011")
-#: Benchmark texts shorter than a window are searched whole and without tolerance, the shortest not at all.
-SHORTEST = 8
+#: Benchmark texts shorter than a window are searched whole, with the same tolerance. Below five words they are no passage
+#: and only found as the whole text of a document.
+PASSAGE, SHARE = 5, 0.8
 #: Slots of the bitmap per benchmark hash: one place in about a thousand passes by chance.
 SLOTS = 1024
 
@@ -36,10 +39,33 @@ def seeds(words: Words, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(total[at]), at
 
 
+def needed(n: int) -> int:
+    """How many words of an overlap with an item of ``n`` words must be equal."""
+    return EQUAL if n >= WINDOW else int(np.ceil(SHARE * n)) if n >= PASSAGE else n
+
+
+def short_masks(n: int) -> list[str]:
+    """Masks as long as an item of fewer than ``WINDOW`` words: whichever words may be replaced, one mask touches none of them.
+
+    With r replaceable words the places are dealt into r + 2 groups, and a mask ignores r of those.
+    """
+    r = n - needed(n)
+    return ["".join("0" if k % (r + 2) in ignored else "1" for k in range(n)) for ignored in combinations(range(r + 2), r)]
+
+
+def short_seeds(words: Words, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Seeds of items of ``n`` words; below ``PASSAGE`` words only those of whole texts."""
+    found = [seeds(words, m, 100 + 16 * n + k) for k, m in enumerate(short_masks(n))]
+    if n >= PASSAGE:
+        return found
+    whole = np.repeat(np.diff(words.first) == n, np.diff(words.first))
+    return [(h[whole[at]], at[whole[at]]) for h, at in found]
+
+
 def all_seeds(words: Words, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds under all masks, and under a full mask for each of the short ``lengths``."""
+    """Seeds under all masks, and under those of each of the short ``lengths``."""
     found = [seeds(words, m, i + 1) for i, m in enumerate(MASKS)]
-    found += [seeds(words, "1" * n, 100 + n) for n in lengths]
+    found += [x for n in lengths for x in short_seeds(words, n)]
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
@@ -48,7 +74,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def item_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, words, hashes, places) of each benchmark text that is long enough; hashes are those of its seeds."""
+    """(item_id, words, hashes, places) of each benchmark text with a word; hashes are those of its seeds."""
     kind = items.schema[id_col].dataType.simpleString()
 
     def run(parts):
@@ -57,10 +83,10 @@ def item_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i, text in enumerate(texts):
                 w = split_words([text], NOT_ALNUM)
                 n = len(w.hashes)
-                if n < SHORTEST:
+                if not n:
                     continue
                 if n < WINDOW:
-                    h, at = seeds(w, "1" * n, 100 + n)
+                    h, at = (np.concatenate(x) for x in zip(*short_seeds(w, n)))
                 else:
                     h, at = all_seeds(w, [])
                 rows.append((part.column(0)[i].as_py(), w.hashes.tobytes(), h.view(np.int64).tolist(), at.tolist()))
@@ -124,7 +150,7 @@ def overlaps_along(doc: np.ndarray, start: int, item: np.ndarray, shift: int) ->
         return []
     equal = doc[low - start:high - start] == item[low - shift:high - shift]
     total = np.r_[0, np.cumsum(equal)]
-    good = np.flatnonzero(total[width:] - total[:-width] >= (EQUAL if width == WINDOW else width))
+    good = np.flatnonzero(total[width:] - total[:-width] >= needed(width))
     out = []
     for w in good.tolist():
         if out and w <= out[-1][1]:
@@ -138,9 +164,10 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
              item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Benchmark passages in documents: doc_id, item_id, first_word, end_word, equal_words, n_words.
 
-    Words are runs of letters and digits in lower case. A passage is a maximal stretch of windows of 13 words, 11
-    or more of them equal to the benchmark's at the same distance (texts of 8 to 12 words: all of them; shorter
-    ones are not searched). One row per passage and alignment; ``n_words`` is the length of the item.
+    Words are runs of letters and digits, every character beyond ASCII counting as a letter; only A-Z is lower-cased. A
+    passage is a maximal stretch of windows of 13 words, 11 or more of them equal to the benchmark's at the same distance.
+    Items of 5 to 12 words are one window with 0.8 or more equal; shorter ones are no passage and are found only
+    as the whole text of a document. One row per passage and alignment; ``n_words`` is the length of the item.
 
     Masks hash some of the words at each place of both sides. Places of documents that pass a bitmap of the
     benchmark's hashes (64 MB at most) are joined with the hashes themselves and verified once per alignment.
@@ -157,7 +184,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
         "item", F.col("s.hashes").alias("h"), F.col("s.places").alias("item_at"))
     size = bench.agg(F.sum(F.size("hashes"))).first()[0] or 0
     short = [r[0] for r in bench.select((F.octet_length("words") / 8).cast("int").alias("n")).where(
-        F.col("n") < WINDOW).distinct().collect()]  # at most WINDOW - SHORTEST lengths
+        F.col("n") < WINDOW).distinct().collect()]  # at most WINDOW - 1 lengths
     segments = scratch.write(hit_segments(docs, bitmap(seed, "h", size, SLOTS), sorted(short), id_col, text_col).withColumn(
         "segment", F.monotonically_increasing_id()), "segments")
     hits = segments.select("segment", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select(

@@ -45,15 +45,16 @@ def tokens(text):
     return re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", ascii_lower(text or ""))
 
 
-def overlap_items(text, items, window=13, equal=11, shortest=8):
-    """Ids of the items that share a window with the text at some alignment."""
+def overlap_items(text, items, window=13, equal=11, passage=5):
+    """Ids of the items that share a window with the text at some alignment; the shortest are the text."""
     t, out = tokens(text), set()
     for item_id, item in items:
         s = tokens(item)
-        if len(s) < shortest:
+        if len(s) < passage:
+            out |= {item_id} if s and s == t else set()
             continue
         width = min(window, len(s))
-        need = equal if width == window else width
+        need = equal if width == window else -(-4 * width // 5)
         for shift in range(-len(s) + width, len(t) - width + 1):
             low, high = max(0, shift), min(len(t), shift + len(s))
             same = [t[p] == s[p - shift] for p in range(low, high)]

@@ -241,3 +241,29 @@ def test_recall_of_edited_passages(spark):
     assert all(similar_starts(texts[i].split(), texts[i + 1].split())[0] for i in range(0, 600, 2))
     assert sum(got[i + 1] == i for i in range(0, 600, 2)) >= 0.97 * 300
     assert all(got[i] in (i, i - i % 2) for i in range(600))
+
+
+def test_a_short_mask_survives_any_replacement():
+    for n in range(1, spaced.WINDOW):
+        for gone in combinations(range(n), n - spaced.needed(n)):
+            assert any(all(m[g] == "0" for g in gone) for m in spaced.short_masks(n))
+        assert all("1" in m for m in spaced.short_masks(n))
+
+
+def test_items_of_any_length_are_found(spark):
+    rng = random.Random(9)
+    pool = [f"w{i}" for i in range(500)]
+    items = [(n, " ".join(rng.sample(pool, n))) for n in range(0, 16)] + [(50, None), (51, "w1 w1"), (52, "Paris")]
+    docs = [(0, None), (1, ""), (2, "Paris"), (3, "in paris now"), (4, "w1 w1"), (5, "w1 w1 w1")]
+    for n, text in items[1:16]:
+        words = text.split()
+        for replaced in range(0, 4):
+            new = list(words)
+            for k in rng.sample(range(n), min(replaced, n)):
+                new[k] = "other"
+            docs.append((len(docs), " ".join(new)))
+            docs.append((len(docs), " ".join(["before", *new, "after", "that"])))
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in spaced.overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), table).collect()}
+    assert got == {(i, item) for i, text in docs for item in overlap_items(text, [(a, b or "") for a, b in items])}
+    assert {(2, 52), (4, 51)} <= got and (3, 52) not in got
