@@ -360,14 +360,15 @@ class CompletionModel(Model, _CompletionParams):
     def _value(self, name: str):
         return self.getOrDefault(self.getParam(name))
 
-    def _score(self, pairs: DataFrame, observed: DataFrame | None, strict: bool, small_observed: bool = False) -> DataFrame:
+    def _score(self, pairs: DataFrame, observed: str, strict: bool, few: bool = False, asked: DataFrame | None = None) -> DataFrame:
+        """``few`` says that the keys of ``asked``, or of the pairs themselves, have been found small enough for a broadcast."""
+        stored = None
+        if observed == "passthrough":
+            stored = self._found(pairs if asked is None else asked) if few else self.cells
         return scoring.score_pairs(
-            pairs, self.rows, self.cols, self.scalars["d"], self.scalars["n_rows"], self.scalars["n_cols"], observed, strict,
+            pairs, self.rows, self.cols, self.scalars["d"], self.scalars["n_rows"], self.scalars["n_cols"], stored, strict,
             self._value("min_value"), self._value("max_value"),
-            self._small(self.rows, self.scalars["row_ids"]), self._small(self.cols, self.scalars["col_ids"]), small_observed)
-
-    def _stored(self) -> DataFrame | None:
-        return self.cells if self._value("observed") == "passthrough" else None
+            self._small(self.rows, self.scalars["row_ids"]), self._small(self.cols, self.scalars["col_ids"]), few)
 
     def index_cells(self, n_buckets: int | None = None, hot_cells: int = lookup.HOT_CELLS) -> lookup.CellIndex:
         """Write the observed cells once more, bucketed by row and sorted; ``predict_few`` and ``predict`` then use that."""
@@ -387,13 +388,13 @@ class CompletionModel(Model, _CompletionParams):
         renamed = pairs.withColumnsRenamed(names)
         validate.check_requests(renamed)
         most = self._value("broadcast_bytes") // 16
-        if self._stored() is None:
+        if self._value("observed") != "passthrough":
             return self.transform(pairs)
         asked, seen = Scratch(pairs.sparkSession, "request").write_observed(
             renamed.select(*KEYS).limit(most + 1), "keys", n="count(1)")
         if seen["n"] > most:
             return self.transform(pairs)
-        scored = self._score(renamed, self._found(asked), self._value("strict"), True)
+        scored = self._score(renamed, self._value("observed"), self._value("strict"), True, asked)
         return scored.withColumnsRenamed({new: old for old, new in names.items()})
 
     def _found(self, asked: DataFrame) -> DataFrame:
@@ -403,7 +404,7 @@ class CompletionModel(Model, _CompletionParams):
         names = {self._value("row_col"): "row_id", self._value("col_col"): "col_id"}
         pairs = dataset.withColumnsRenamed(names)
         validate.check_requests(pairs)
-        scored = self._score(pairs, self._stored(), self._value("strict"))
+        scored = self._score(pairs, self._value("observed"), self._value("strict"))
         return scored.withColumnsRenamed({new: old for old, new in names.items()})
 
     def predict(self, row_ids: int | Sequence[int], col_ids: int | Sequence[int]) -> float | np.ndarray:
@@ -426,14 +427,13 @@ class CompletionModel(Model, _CompletionParams):
         data = [(pos, int(r), int(c)) for pos, (r, c) in enumerate(zip(rows, cols))]
         pairs = self.rows.sparkSession.createDataFrame(data, "pos bigint, row_id bigint, col_id bigint")
         few = 16 * len(data) <= self._value("broadcast_bytes")
-        stored = self._stored()
-        scored = self._score(pairs, self._found(pairs) if few and stored is not None else stored, False, few).orderBy("pos").collect()
+        scored = self._score(pairs, self._value("observed"), False, few).orderBy("pos").collect()
         out = np.array([r["prediction"] for r in scored])
         return float(out[0]) if single else out
 
     def fitted(self) -> DataFrame:
         """Training cells with the model's own value for each, never the stored one."""
-        return self._score(self.cells, None, False).drop("source")
+        return self._score(self.cells, "model", False).drop("source")
 
     def train_rmse(self) -> float:
         """Over the observed cells; the same in centered and in rating units, since scales are 1.
