@@ -737,5 +737,5 @@ def load_and_split_csv(spark, folder):
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Split the ratings, fit a centered rank-2 model, and score the held-out cells."""
     parts = split.leave_n_out(cells_of(spark, folder), HOLDOUT, SUPPORT)
-    model = SoftImputeALS(max_rank=2, shrinkage_value=SHRINKAGE, max_iters=20).fit(parts.train)
+    model = SoftImputeALS(max_rank=2, shrinkage_value=SHRINKAGE, max_iters=10).fit(parts.train)
     return model.transform(parts.test)
