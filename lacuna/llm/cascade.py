@@ -17,38 +17,76 @@ from lacuna.llm.text import groups, per_text, split_words, texts_of, windows
 SYMBOLS = b"#*$%&|<>"
 #: Rules are ordered after a sample of about so many documents; the order changes the work, never a verdict.
 SAMPLE_DOCS = 2000
+_BLANKS = b"\t\n\x0b\x0c\r "
 _UPPER = bytes(range(65, 91))
-_LOWER = bytes(range(97, 123))
-_CONTINUED = np.zeros(256, bool)
-_CONTINUED[128:192] = True
+#: Bytes that end or go on a character but begin none.
+_LATER = bytes(range(128, 192))
+#: Bytes that begin a character from U+0800 on, where scripts do without blanks or have other word lengths.
+_WIDE = bytes(range(224, 256))
+#: What begins no letter; every character beyond ASCII counts as a letter.
+_NO_LETTER = bytes(b for b in range(192) if not (65 <= b <= 90 or 97 <= b <= 122))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` gets UTF-8 texts and returns a flag for each."""
+    """``rejects`` gets measured texts and the numbers of those to judge, and returns a flag for each of these."""
 
     name: str
-    rejects: Callable[[list[bytes]], np.ndarray]
+    rejects: Callable[[Measured, np.ndarray], np.ndarray]
 
 
-def measures(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text (README: quality rules)."""
-    out = {k: np.zeros(len(texts), np.int64) for k in
-           ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+class Measured:
+    """UTF-8 texts with their measures, each taken once per text, and only of the texts that it is asked for."""
+
+    def __init__(self, texts: list[bytes], known: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
+        self.texts = texts
+        self._known = {k: (v.copy(), at.copy()) for k, (v, at) in (known or {}).items()}
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def copy(self) -> Measured:
+        return Measured(self.texts, self._known)
+
+    def __call__(self, name: str, rows: np.ndarray) -> np.ndarray:
+        n = len(self.texts)
+        value, at = self._known.setdefault(name, (np.zeros(n, np.int64), np.zeros(n, bool)))
+        todo = rows[~at[rows]]
+        if len(todo):
+            for k, found in MEASURES[name]([self.texts[i] for i in todo.tolist()]).items():
+                into, done = self._known.setdefault(k, (np.zeros(n, np.int64), np.zeros(n, bool)))
+                into[todo], done[todo] = found, True
+        return value[rows]
+
+
+def _each(name: str, of: Callable[[bytes], int]) -> Callable[[list[bytes]], dict[str, np.ndarray]]:
+    return lambda texts: {name: np.fromiter(map(of, texts), np.int64, len(texts))}
+
+
+def _repeats(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """n_repeat_words, and n_words, which comes with the same cut into words."""
+    out = {k: np.zeros(len(texts), np.int64) for k in ("n_words", "n_repeat_words")}
     for begin, stop in groups(texts):
-        some = texts[begin:stop]
-        words = split_words(some, fold=False)
-        chars = np.fromiter((sum(map(len, t.split())) for t in some), np.int64, len(some))
-        inside = np.fromiter((len(t) - len(t.decode("utf-8", "surrogatepass")) if not t.isascii() else 0
-                              for t in some), np.int64, len(some))  # continuation bytes, all of them in words
+        words = split_words(texts[begin:stop], fold=False)
         out["n_words"][begin:stop] = np.diff(words.first)
-        out["word_chars"][begin:stop] = chars - inside
-        out["n_symbols"][begin:stop] = [len(t) - len(t.translate(None, SYMBOLS)) for t in some]
-        out["n_dup_lines"][begin:stop] = [duplicate_lines(t) for t in some]
         out["n_repeat_words"][begin:stop] = repeated_words(words)
     return out
 
 
+def _bare(text: bytes) -> int:
+    """Words without a letter."""
+    return sum(1 for w in text.translate(_TO_PLAIN).split() if b"a" not in w)
+
+
+_TO_PLAIN = bytes(i if i in (9, 10, 11, 12, 13, 32) else 97 if i >= 128 or chr(i).isalpha() else 46 for i in range(256))
+
+
+def _stuttered(text: bytes) -> int:
+    """Words that equal the word before."""
+    words = text.split()
+    return sum(map(eq, words, words[1:]))
+
+
 def duplicate_lines(text: bytes) -> int:
     lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")] if b"\n" in text else []
     return len(lines) - len(set(lines))
@@ -70,71 +108,76 @@ def repeated_words(words, width: int = 8) -> np.ndarray:
     return per_text(np.cumsum(covered)[:-1] > 0, words)
 
 
-def _flags(texts: list[bytes], test: Callable[[bytes], bool]) -> np.ndarray:
-    return np.fromiter(map(test, texts), bool, len(texts))
+#: Measures by name; a function may give others that come with its own.
+MEASURES = {name: _each(name, of) for name, of in {
+    "n_words": lambda t: len(t.split()),
+    "word_chars": lambda t: len(t.translate(None, _BLANKS + _LATER)),
+    "n_symbols": lambda t: len(t) - len(t.translate(None, SYMBOLS)),
+    "n_dup_lines": duplicate_lines,
+    "n_lines": lambda t: t.count(b"\n") + 1,
+    "upper": lambda t: len(t) - len(t.translate(None, _UPPER)),
+    "letters": lambda t: len(t.translate(None, _NO_LETTER)),
+    "wide": lambda t: 0 if t.isascii() else len(t) - len(t.translate(None, _WIDE)),
+    "bare": _bare,
+    "stuttered": _stuttered,
+}.items()}
+MEASURES["n_repeat_words"] = _repeats
 
 
-def _many_symbols(text: bytes) -> bool:
-    """Over one symbol in ten words."""
-    return 10 * (len(text) - len(text.translate(None, SYMBOLS))) > len(text.split())
+def _few_words(m: Measured, r: np.ndarray) -> np.ndarray:
+    return m("n_words", r) < 20
 
 
-def _shouting(text: bytes) -> bool:
-    """More capitals than small letters, of A-Z."""
-    upper = len(text) - len(text.translate(None, _UPPER))
-    lower = len(text) - len(text.translate(None, _LOWER))
-    return upper > lower
+def _repeated(m: Measured, r: np.ndarray) -> np.ndarray:
+    """Over 30 % of the words in repeated runs of eight."""
+    return 100 * m("n_repeat_words", r) > 30 * m("n_words", r)
 
 
-def _bare_words(text: bytes) -> bool:
-    """Over a fifth of the words have no letter (a byte beyond ASCII counts as one)."""
-    words = text.split()
-    bare = text.translate(_TO_PLAIN).split()
-    return 5 * sum(1 for w in bare if b"a" not in w) > len(words)
+def _many_symbols(m: Measured, r: np.ndarray) -> np.ndarray:
+    """Over one symbol in ten words."""
+    return 10 * m("n_symbols", r) > m("n_words", r)
 
 
-_TO_PLAIN = bytes(i if i in (9, 10, 11, 12, 13, 32) else 97 if i >= 128 or chr(i).isalpha() else 46 for i in range(256))
+def _shouting(m: Measured, r: np.ndarray) -> np.ndarray:
+    """Capitals of A-Z are over half of all letters, those of other scripts included."""
+    return 2 * m("upper", r) > m("letters", r)
 
 
-def _odd_lengths(text: bytes) -> bool:
-    """Words of under 2 or over 15 bytes on average."""
-    words = text.split()
-    return not 2 * len(words) <= sum(map(len, words)) <= 15 * len(words)
+def _bare_words(m: Measured, r: np.ndarray) -> np.ndarray:
+    """Over a fifth of the words have no letter."""
+    return 5 * m("bare", r) > m("n_words", r)
 
 
-def _same_lines(text: bytes) -> bool:
-    """Over half of the lines repeat an earlier one."""
-    return 2 * duplicate_lines(text) > text.count(b"\n") + 1
+def _odd_lengths(m: Measured, r: np.ndarray) -> np.ndarray:
+    """Words of under 2 or over 15 characters on average, unless most characters are of U+0800 or beyond."""
+    chars, n = m("word_chars", r), m("n_words", r)
+    return ((2 * n > chars) | (chars > 15 * n)) & (2 * m("wide", r) <= chars)
 
 
-def _stutter(text: bytes) -> bool:
-    """Over 30 % of the words equal the word before."""
-    words = text.split()
-    return 10 * sum(map(eq, words, words[1:])) > 3 * len(words)
+def _same_lines(m: Measured, r: np.ndarray) -> np.ndarray:
+    """Over half of the lines repeat an earlier one."""
+    return 2 * m("n_dup_lines", r) > m("n_lines", r)
 
 
-def _few_words(text: bytes) -> bool:
-    return len(text.split()) < 20
+def _stutter(m: Measured, r: np.ndarray) -> np.ndarray:
+    """Over 30 % of the words equal the word before."""
+    return 10 * m("stuttered", r) > 3 * m("n_words", r)
 
 
-def _repeats(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros(len(texts), bool)
-    for begin, stop in groups(texts):
-        words = split_words(texts[begin:stop], fold=False)
-        out[begin:stop] = 100 * repeated_words(words) > 30 * np.diff(words.first)
-    return out
+#: The rules whose verdict ``judge`` reports apart.
+BASE = [Rule("few_words", _few_words), Rule("repeated_words", _repeated)]
+RULES = [*BASE, Rule("many_symbols", _many_symbols), Rule("shouting", _shouting), Rule("bare_words", _bare_words),
+         Rule("odd_lengths", _odd_lengths), Rule("same_lines", _same_lines), Rule("stutter", _stutter)]
+#: What ``judge`` reports of every text; the words are cut once, for the repeats.
+COUNTS = ("n_repeat_words", "n_words", "word_chars", "n_symbols", "n_dup_lines")
 
 
-RULES = [
-    Rule("few_words", lambda t: _flags(t, _few_words)),
-    Rule("repeated_words", _repeats),
-    Rule("many_symbols", lambda t: _flags(t, _many_symbols)),
-    Rule("shouting", lambda t: _flags(t, _shouting)),
-    Rule("bare_words", lambda t: _flags(t, _bare_words)),
-    Rule("odd_lengths", lambda t: _flags(t, _odd_lengths)),
-    Rule("same_lines", lambda t: _flags(t, _same_lines)),
-    Rule("stutter", lambda t: _flags(t, _stutter)),
-]
+def reported(texts: Measured) -> np.ndarray:
+    """Take the reported counts of all texts; which of them fail a base rule."""
+    rows = np.arange(len(texts))
+    for name in COUNTS:
+        texts(name, rows)
+    return np.any([rule.rejects(texts, rows) for rule in BASE], axis=0)
 
 
 def order_rules(patterns: dict[int, int], seconds: list[float]) -> list[int]:
@@ -152,8 +195,13 @@ def order_rules(patterns: dict[int, int], seconds: list[float]) -> list[int]:
     return order
 
 
-def plan(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[int]:
-    """Time and try every rule on about ``sample_docs`` documents; the driver gets a row per set of rejecting rules."""
+def plan(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
+         report: bool = False) -> list[int]:
+    """Time and try every rule on about ``sample_docs`` documents; the driver gets a row per set of rejecting rules.
+
+    With ``report`` the rules come after ``reported``: they are tried on what passes it, and what it has counted
+    costs them nothing.
+    """
     n = docs.count()
     if not n:
         return list(range(len(rules)))
@@ -161,10 +209,12 @@ def plan(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_docs
 
     def run(parts):
         for part in parts:
-            texts, hits, costs = texts_of(part.column(0)), np.zeros(part.num_rows, np.int64), []
+            texts = Measured(texts_of(part.column(0)))
+            rows = np.flatnonzero(~reported(texts)) if report else np.arange(len(texts))
+            hits, costs = np.zeros(len(rows), np.int64), []
             for i, rule in enumerate(rules):
-                begin = time.perf_counter()
-                hits |= rule.rejects(texts).astype(np.int64) << i
+                fresh, begin = texts.copy(), time.perf_counter()
+                hits |= rule.rejects(fresh, rows).astype(np.int64) << i
                 costs.append(time.perf_counter() - begin)
             kinds, counts = np.unique(hits, return_counts=True)
             for k, c in zip(kinds.tolist(), counts.tolist()):
@@ -178,14 +228,17 @@ def plan(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_docs
     return order_rules({r["pattern"]: r["n"] for r in rows}, [sum(r[f"s{i}"] for r in rows) for i in range(len(rules))])
 
 
-def first_rejections(texts: list[bytes], rules: list[Rule], order: list[int]) -> tuple[np.ndarray, int]:
-    """The index of the rule that rejects each text (-1: none), and how many rule evaluations that took."""
-    verdict, alive, work = np.full(len(texts), -1, np.int64), np.arange(len(texts)), 0
+def first_rejections(texts: Measured | list[bytes], rules: list[Rule], order: list[int],
+                     rows: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """The index of the rule that rejects each text (-1: none) of ``rows``, and how many rule evaluations that took."""
+    texts = texts if isinstance(texts, Measured) else Measured(texts)
+    rows = np.arange(len(texts)) if rows is None else rows
+    verdict, alive, work = np.full(len(rows), -1, np.int64), np.arange(len(rows)), 0
     for r in order:
         if not len(alive):
             break
         work += len(alive)
-        bad = rules[r].rejects([texts[i] for i in alive])
+        bad = rules[r].rejects(texts, rows[alive])
         verdict[alive[bad]] = r
         alive = alive[~bad]
     return verdict, work
@@ -193,30 +246,31 @@ def first_rejections(texts: list[bytes], rules: list[Rule], order: list[int]) ->
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES,
           sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """One row per row of ``docs``: its id, the measures of ``measures``, base_failed, kept, rule.
+    """One row per row of ``docs``: its id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule.
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated runs of eight. ``kept`` is false for those;
-    the others run through the cascade, where a document leaves at the first rule that rejects it. ``rule`` names
-    that rule: a report of the work done, which follows the order found on the sample, unlike ``kept``.
+    the others run through the cascade of the other rules, where a document leaves at the first rule that rejects
+    it. Rules use the reported counts as they are, so each text is counted once. ``rule`` names the rejecting rule
+    ("base": those before the cascade): a report of the work done, which follows the order found on the sample, unlike ``kept``.
 
     A null text is empty: no words, so it fails. Repeated rows and null ids are judged row by row; empty tables
     give no rows; other columns are ignored.
     """
-    order = plan(docs, rules, text_col, sample_docs)
+    rules = [r for r in rules if r not in BASE]
+    order = plan(docs, rules, text_col, sample_docs, report=True)
     kind = docs.schema[id_col].dataType.simpleString()
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(parts):
         for part in parts:
-            texts = texts_of(part.column(1))
-            found = measures(texts)
-            failed = (found["n_words"] < 20) | (100 * found["n_repeat_words"] > 30 * found["n_words"])
+            texts = Measured(texts_of(part.column(1)))
+            failed, every = reported(texts), np.arange(len(texts))
             rest = np.flatnonzero(~failed)
             verdict = np.full(len(texts), -1, np.int64)
-            verdict[rest], _ = first_rejections([texts[i] for i in rest], rules, order)
+            verdict[rest], _ = first_rejections(texts, rules, order, rest)
             names = ["base" if f else rules[v].name if v >= 0 else None for f, v in zip(failed, verdict)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *[pa.array(found[c]) for c in counts], pa.array(failed), pa.array(~failed & (verdict < 0)),
+                [part.column(0), *[pa.array(texts(c, every)) for c in counts], pa.array(failed), pa.array(~failed & (verdict < 0)),
                  pa.array(names, pa.string())], names=["id", *counts, "base_failed", "kept", "rule"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(

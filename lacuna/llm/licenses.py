@@ -103,6 +103,8 @@ def _texts() -> list[tuple[str, str]]:
         terms, end, _ = body.partition("END OF TERMS AND CONDITIONS")
         if end:  # also without the appendix on how to apply it
             out += [(path.stem, terms + end), (path.stem, terms)]
+        if "All Rights Reserved." in body:  # it can come to begin a line
+            out.append((path.stem, body.replace("All Rights Reserved.", "")))
     return out
 
 
@@ -128,14 +130,26 @@ KNOWN = [
 ]
 
 
+# How a copyright line begins, the sentences of GNU texts that follow in the same paragraph, and the
+# examples of a notice in them, which need not begin a line.
+_MARK = "[0-9]{4}|<|\\[|\\{|year |yyyy"
+_FOLLOWS = "(?:\n[ \t]*)?(everyone[ \t\n]+is[ \t\n]+permitted|permission[ \t\n]+is[ \t\n]+granted)"
+_EXAMPLE = "copyright[ \t\n]+\\(c\\)[ \t\n]+(?:<year>|19yy|year)[ \t\n]+(?:<?name[ \t\n]+of[ \t\n]+author>?|your[ \t\n]+name)"
+NOTICE = (f"(?:^|\n)[ \t]*(?:{_EXAMPLE}|"
+          f"(?:copyright:?[ \t]*(?:\\(c\\)|©|{_MARK})|(?:\\(c\\)|©)[ \t]*(?:copyright[ \t]*)?(?:{_MARK}))"
+          f"(?:(?:[^\n]|\n[ \t]*[^ \t\n]){{0,300}}?{_FOLLOWS}|[^\n]*)|all rights reserved[^\n]*)|{_EXAMPLE}")
+
+
 def canonical(text: Column) -> Column:
     """The form whose digest is looked up.
 
-    Copyright lines are removed, A-Z lower-cased, ASCII punctuation and white space folded into single spaces,
+    Copyright lines are removed: those that begin with "copyright" and a year, "(c)", © or a placeholder, not sentences
+    that a line break has brought to such a word; in a paragraph that goes on with the sentence of the GNU texts, all
+    that stands before it. A-Z are lower-cased, ASCII punctuation and white space folded into single spaces,
     "(c)" and equivalent spellings unified. Other characters are kept as they are. Null stays null.
     """
     out = F.translate(text, UPPER, LOWER)
-    out = F.regexp_replace(out, "(^|\n)[ \t]*(copyright|\\(c\\)|©|all rights reserved)[^\n]*", "\n")
+    out = F.regexp_replace(out, NOTICE, "\n$1")
     out = F.regexp_replace(out, "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", " ")
     # Words are framed by two spaces each, so that neighbours of one spelling do not share one.
     out = F.concat(F.lit(" "), F.regexp_replace(F.trim(out), " ", "  "), F.lit(" "))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lacuna.llm.licenses import KNOWN, LOWER, SPELLINGS, UPPER
+from lacuna.llm.licenses import KNOWN, LOWER, NOTICE, SPELLINGS, UPPER
 
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -63,7 +63,8 @@ m AS (
     coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-    coalesce(list_sum(list_transform(words, lambda x: strlen(x))), 0)::BIGINT AS word_bytes,
+    length(regexp_replace(text, '[^\x{{0800}}-\x{{10FFFF}}]', '', 'g')) AS wide,
+    length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) AS other,
     length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS lower,
     len(list_filter(words, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS bare,
     len(string_split(text, chr(10))) AS n_lines,
@@ -71,8 +72,8 @@ m AS (
   FROM w LEFT JOIN covered USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR upper > lower OR 5 * bare > n_words
-       OR NOT (2 * n_words <= word_bytes AND word_bytes <= 15 * n_words) OR 2 * n_dup_lines > n_lines
+  NOT (base_failed OR 10 * n_symbols > n_words OR upper > lower + other OR 5 * bare > n_words
+       OR (NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words) AND 2 * wide <= word_chars) OR 2 * n_dup_lines > n_lines
        OR 10 * same > 3 * n_words) AS kept
 FROM b
 """
@@ -80,7 +81,7 @@ FROM b
 
 def _canonical(column: str) -> str:
     out = f"translate({column}, '{UPPER}', '{LOWER}')"
-    out = rf"regexp_replace({out}, '(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*', chr(10), 'g')"
+    out = rf"regexp_replace({out}, '{NOTICE}', chr(10) || '\1', 'g')"
     out = rf"regexp_replace({out}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g')"
     out = f"' ' || replace(trim({out}, ' '), ' ', '  ') || ' '"
     for a, b in SPELLINGS:

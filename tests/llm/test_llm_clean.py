@@ -1,8 +1,11 @@
 import random
+import re
+import textwrap
 
 import numpy as np
 import pytest
 from brute import private
+from pyspark.sql import functions as F
 
 from lacuna.llm import cascade, crf, licenses, lines, merkle
 
@@ -72,6 +75,30 @@ def test_cascade_order_and_verdicts(spark):
     assert cascade.judge(df.limit(0)).count() == 0 == cascade.keep_good(df.limit(0)).count()
 
 
+def test_cascade_counts_once_and_in_any_script(spark):
+    texts = [b"a b " * 30, b"one word after the other " * 3, "é a".encode() * 40, b""]
+    seen = cascade.Measured(texts)
+    assert seen("n_repeat_words", np.array([0, 2])).tolist() == [60, 39]
+    calls, plain = [], cascade.MEASURES["n_words"]
+    cascade.MEASURES["n_words"] = lambda t: calls.extend(t) or plain(t)
+    try:
+        assert seen("n_words", np.arange(4)).tolist() == [60, 15, 41, 0] and calls == [texts[1], texts[3]]
+    finally:
+        cascade.MEASURES["n_words"] = plain
+    work = []
+    rule = lambda name, bad: cascade.Rule(name, lambda m, r: work.append((name, r.tolist())) or np.isin(r, bad))
+    verdict, n = cascade.first_rejections(texts, [rule("x", [1]), rule("y", [0, 1])], [1, 0], np.array([0, 2, 3]))
+    assert verdict.tolist() == [1, -1, -1] and work == [("y", [0, 2, 3]), ("x", [2, 3])] and n == 5
+    russian = "Компания IBM представила новый сервер для больших вычислений и хранения данных в научных центрах страны на этой неделе в городе Москва " \
+              "где собрались учёные"
+    chinese = " ".join("这是一个关于机器学习与自然语言处理的句子没有空格" + chr(0x4E00 + i) for i in range(25))
+    loud = "SHOUT OUT LOUD NOW ALL OF YOU PEOPLE WHO ARE HERE IN THIS BIG ROOM TONIGHT AND WAIT FOR THE BAND TO COME"
+    long = " ".join(f"averyveryverylongwordindeed{i}" for i in range(25))
+    got = {r["id"]: r["rule"] for r in cascade.judge(spark.createDataFrame(
+        list(enumerate([russian, chinese, loud, long])), "doc_id long, text string")).collect()}
+    assert got == {0: None, 1: None, 2: "shouting", 3: "odd_lengths"}
+
+
 def test_rules_keep_good_documents(spark):
     folder = "/root/testdata/sf0.01"
     got = cascade.judge(spark.read.parquet(f"{folder}/documents.parquet")).join(
@@ -127,6 +154,28 @@ def test_licences_of_the_catalogue(spark):
     assert [got[i] for i in range(len(rows))] == [k for k, _ in rows]
 
 
+def test_licences_in_any_wrapping(spark):
+    """Every paragraph wrapped anew at widths 50 to 100."""
+    rows = []
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0",
+                 "CC0-1.0", "GFDL-1.3-only"):
+        body = max((t for k, t in licenses.KNOWN if k == name), key=len)
+        for width in range(50, 101):
+            rows.append((name, "\n\n".join(textwrap.fill(p, width) for p in re.split(r"\n[ \t]*\n", body))))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_texts(df, licenses.catalogue(spark)).collect()}
+    assert not [(k, 50 + i % 51) for i, (k, _) in enumerate(rows) if got[i] != k]
+
+
+def test_copyright_lines(spark):
+    gone = ["Copyright (c) 2020 X", "copyright 1999 x. all rights reserved", "  \u00a9 2001 X", "(C) 2020 X", "Copyright [yyyy] [name]",
+            "Copyright: \u00a9 X", "All rights reserved."]
+    stay = ["copyright notice and this list", "(c) You must keep", "copyrighted by X", "the copyright 2020"]
+    df = spark.createDataFrame([(t,) for t in gone + stay], "text string")
+    got = [r[0] for r in df.select(licenses.canonical(F.concat(F.lit("a\n"), "text", F.lit("\nb")))).collect()]
+    assert got[:len(gone)] == ["a b"] * len(gone) and all(len(g) > 10 for g in got[len(gone):])
+
+
 def test_licence_scan_is_native(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = licenses.scan(df, licenses.catalogue(spark))._jdf.queryExecution().toString()
