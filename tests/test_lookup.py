@@ -109,3 +109,21 @@ def test_a_large_request_takes_the_join(spark, skewed, model):
     del model._found
     model.set(model.getParam("broadcast_bytes"), 1 << 26)
     assert rows(model.predict_few(request.withColumnsRenamed({})).select("row_id", "col_id", "prediction")) == rows(skewed)
+
+
+def test_many_pairs_are_not_broadcast(spark, skewed, index, monkeypatch, a_partition_per_file):
+    asked = skewed.select("row_id", "col_id").where("col_id % 2 = 0")
+    asked = asked.unionByName(asked).unionByName(skewed.selectExpr("row_id", "col_id + 6000 AS col_id"))
+    want = rows(index.find(asked))
+    monkeypatch.setattr(lookup, "BROADCAST_PAIRS", 100)
+    found = index.find(asked)
+    plan = plan_of(found)
+    assert "BroadcastHashJoin LeftSemi" not in plan and "SortMergeJoin LeftSemi" in plan
+    assert rows(found) == want == rows(skewed.where("col_id % 2 = 0"))
+
+
+def test_a_given_number_of_buckets_is_the_least(spark, skewed, monkeypatch):
+    monkeypatch.setattr(lookup, "CELLS_PER_BUCKET", 500)
+    built = CellIndex.build(skewed, Scratch(spark, "index"), n_buckets=2, hot_cells=500)
+    assert built.n_buckets == 12
+    built.drop()
