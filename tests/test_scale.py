@@ -84,3 +84,17 @@ def test_a_request_is_counted_without_a_limit(spark, cells, monkeypatch):
     # A limit would send the request through one task.
     assert rows(model.predict_few(request)) == rows(model.transform(request))
     assert plans and not any("GlobalLimit" in p for p in plans)
+
+
+def test_imputations_compute_their_pairs_once(spark, cells):
+    model = SoftImputeALS(max_rank=1, max_iters=1, shrinkage_value=1.0, observed="model")
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    pairs = cells.select("row_id", "col_id").mapInArrow(counted, "row_id bigint, col_id bigint")
+    found = estimators.multiple_imputations(model, cells.where("(row_id + col_id) % 4 != 0"), pairs, [0, 1, 2])
+    assert {r["runs"] for r in found.collect()} == {3} and computed.value == 900
