@@ -243,6 +243,27 @@ def test_recall_of_edited_passages(spark):
     assert all(got[i] in (i, i - i % 2) for i in range(600))
 
 
+def test_passages_of_a_family_of_edited_copies(spark, monkeypatch):
+    """Copies with a word in about thirty replaced: which passages stay similar equals brute force, few pairs are compared one by one."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(4):
+        body = prose(rng, 90, 10**6)
+        texts += [[f"new{rng.random()}" if rng.random() < 1 / 30 else w for w in body] for _ in range(12)]
+    compared, verify = [], windows._verify
+    monkeypatch.setattr(windows, "_verify", lambda pairs: compared.append(pairs.count()) or verify(pairs))
+    got = {r["id"]: r for r in windows.passages(frame(spark, [" ".join(t) for t in texts])).collect()}
+    starts = [[similar_starts(x, y) if i != j and i // 12 == j // 12 else (set(), set()) for j, y in enumerate(texts)]
+              for i, x in enumerate(texts)]
+    assert [got[i]["class_id"] for i in range(48)] == classes(48, lambda i, j: bool(starts[i][j][0]))
+    for i in range(48):
+        spans = [tuple(map(int, s.split(":"))) for s in got[i]["spans"].split(",") if s]
+        held = {p for x, y in spans for p in range(x, y)}
+        want = {p for a, _ in starts[i] for s in a for p in range(s, s + 50)}
+        assert len(want - held) <= 0.02 * len(want) and held <= want
+    assert sum(compared) < 4 * len(texts)
+
+
 def test_a_short_mask_survives_any_replacement():
     for n in range(1, spaced.WINDOW):
         for gone in combinations(range(n), n - spaced.needed(n)):
