@@ -107,6 +107,13 @@ def test_comparison_with_the_ridge_method(planted):
     assert all(r["mse"] > 0 and r["train_rmse"] > 0 and r["seconds"] > 0 for r in rows)
 
 
+def test_comparator_checkpoints_every_iteration(spark):
+    """With ten iterations between checkpoints the shuffle files of ten lie on the disk for every fit that runs."""
+    for settings in ({}, {"rank": 20, "max_iter": 30, "reg": 10.0}):
+        als = tuning.comparator(**settings)
+        assert als.getCheckpointInterval() == als.copy({als.rank: 4}).getCheckpointInterval() == 1
+
+
 def test_comparator_refuses_long_ids(spark):
     cells = spark.createDataFrame([(2 ** 40, 1, 1.0)], RATINGS)
     with pytest.raises(Exception, match="32 bits"):
