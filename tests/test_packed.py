@@ -38,6 +38,7 @@ def test_packed_fits_equal_fits_by_columns(spark, scattered, center, records, mo
     one = SoftImputeALS(max_iters=4, init="integer", center=center, center_max_iter=5, convergence_threshold=1e-3)
     maps = [{one.getParam("max_rank"): r, one.getParam("shrinkage_value"): s} for r, s in ((6, 0.3), (4, 0.0), (6, 30.0))]
     calls, real = [], solvers.packed_steps
+    monkeypatch.setattr(solvers, "PACKED_COLUMNS", 8)
     monkeypatch.setattr(solvers, "packed_steps", lambda *args: (calls.append(args[2]), real(*args))[1])
     given = spark.conf.get(RECORDS)
     spark.conf.set(RECORDS, records)
@@ -74,7 +75,8 @@ def test_a_wide_pass_has_few_columns(spark, scattered):
     kept.release()
 
 
-def test_hot_or_large_sides_go_by_columns(spark, scattered):
+def test_hot_or_large_sides_go_by_columns(spark, scattered, monkeypatch):
+    monkeypatch.setattr(solvers, "PACKED_COLUMNS", 8)
     rows = scattered.select("row_id").distinct().selectExpr("row_id", *[f"1.0D AS f{k}" for k in range(8)])
     job = solvers.Job(solvers.Factor(rows, "row_id", "f", np.eye(8)), None, None, np.ones(8))
     for settings in (dict(broadcast_bytes=0), dict(hot_cells=10, cells_per_partition=40)):
