@@ -264,6 +264,33 @@ def test_passages_of_a_family_of_edited_copies(spark, monkeypatch):
     assert sum(compared) < 4 * len(texts)
 
 
+def test_only_text_that_others_may_hold_gets_signatures(spark, monkeypatch):
+    """Without enough shingles in other texts a passage has no cells, so work follows the shared text."""
+    rng = random.Random(13)
+    line, texts = prose(rng, 10), []
+    for k in range(240):
+        body = [f"{w}{k}" for w in prose(rng, 60)] + line + [f"{w}{k}" for w in prose(rng, 60)]
+        texts.append(texts[-1].replace(" ", " changed ", 1) if k % 24 == 1 else " ".join(body))
+    tables, write = {}, windows.Scratch.write
+    monkeypatch.setattr(windows.Scratch, "write", lambda self, df, name: tables.setdefault(name, write(self, df, name)))
+    got = {r["id"]: r["class_id"] for r in windows.passages(frame(spark, texts)).collect()}
+    assert got == {i: i - 1 if i % 24 == 1 else i for i in range(240)}
+    assert tables["segments"].select("uid").distinct().count() < len(texts) // 2
+
+
+def test_texts_of_one_class_meet_only_for_starts_in_no_span():
+    rng = np.random.default_rng(14)
+    a = rng.integers(1, 1 << 32, 60, np.uint32)
+    b = a.copy()
+    b[0] = 7
+    sides = dict(uid=[1, 2], low=[0, 0], high=[10, 10], first=[0, 0], last=[10, 10], anchor=[20, 20], at=[0, 0],
+                 words=[a.tobytes(), b.tobytes()])
+    meet = lambda label, bare: windows._meet(**sides, label=label, bare_first=[bare, bare], bare_last=[10, 10])
+    assert meet([1, 1], 11) == []
+    assert {(i, j) for i, j, _ in meet([1, 1], 4)} == {(0, 1)} == {(i, j) for i, j, _ in meet([1, 2], 11)}
+    assert meet([1, 2], 11)[0][2] == [(0, 60, 0, 60)]
+
+
 def test_a_short_mask_survives_any_replacement():
     for n in range(1, spaced.WINDOW):
         for gone in combinations(range(n), n - spaced.needed(n)):
