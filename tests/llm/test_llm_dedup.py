@@ -291,6 +291,19 @@ def test_texts_of_one_class_meet_only_for_starts_in_no_span():
     assert meet([1, 2], 11)[0][2] == [(0, 60, 0, 60)]
 
 
+def test_large_keys_by_rounds_give_the_same_classes(spark, monkeypatch):
+    rng = random.Random(15)
+    texts = []
+    for _ in range(3):
+        body = prose(rng, 80, 10**6)
+        texts += [" ".join(f"new{rng.random()}" if rng.random() < 1 / 30 else w for w in body) for _ in range(8)]
+    got = []
+    for local in (windows.LOCAL, 0):
+        monkeypatch.setattr(windows, "LOCAL", local)
+        got.append({r["id"]: (r["class_id"], r["n_dup_words"]) for r in windows.passages(frame(spark, texts)).collect()})
+    assert got[0] == got[1] and any(c < i for i, (c, _) in got[0].items())
+
+
 def test_a_short_mask_survives_any_replacement():
     for n in range(1, spaced.WINDOW):
         for gone in combinations(range(n), n - spaced.needed(n)):
