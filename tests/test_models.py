@@ -180,3 +180,35 @@ def test_registered_fits_have_the_full_budget(monkeypatch):
     value = {p.name: v for p, v in seen["ours"].extractParamMap().items()}
     assert (value["max_rank"], value["max_iters"], value["shrinkage_value"], value["convergence_threshold"]) == (8, 50, 0.02, 1e-5)
     assert seen["baseline"] == {"rank": 8, "max_iter": 50}
+
+
+def test_fit_and_score_has_the_full_budget(monkeypatch):
+    """As ``fit_and_score_full``, and centers until they stand; only the start vectors are the ones that SQL can follow."""
+    from lacuna.plans import queries as Q
+
+    seen = {}
+    monkeypatch.setattr(Q, "_split", lambda spark, folder: (None, None))
+    monkeypatch.setattr(tuning, "fit_and_score", lambda estimator, parts: seen.setdefault(len(seen), estimator) and 1 / 0)
+    for name in ("fit_and_score", "fit_and_score_full"):
+        with pytest.raises(ZeroDivisionError):
+            Q.REGISTRY[name](None, "")
+    small, full = ({p.name: v for p, v in e.extractParamMap().items()} for e in seen.values())
+    assert {k for k in full if full[k] != small[k]} == {"init"}
+
+
+def test_sql_of_the_whole_fit_stops_as_the_estimator_does(spark, vignette):
+    """Where the stop test holds early, the SQL ends with the iteration that the fit ends with."""
+    import duckdb
+
+    from lacuna.plans import oracles
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE rated AS SELECT * FROM (VALUES " + ", ".join(
+        f"({r[0]}::BIGINT, {r[1]}::BIGINT, {r[2]!r}::DOUBLE)" for r in vignette.collect()) + ") t(row_id, col_id, value)")
+    fit = oracles.Polar("x", 2, "5e-1").als(50)
+    found = con.sql("WITH RECURSIVE " + oracles.sql(
+        *oracles.converged_centers("rated"), oracles.residual("x", "a", "b", "rated"), *fit.ctes,
+        select=f"SELECT (SELECT max(it) FROM fit), (SELECT max(pass) FROM centers), m FROM {fit.m}").removeprefix("WITH ")).fetchall()[0]
+    model = SoftImputeALS(max_rank=2, shrinkage_value=0.5, max_iters=50, init="integer").fit(vignette)
+    assert (model.n_iterations, len(model.scalars["trace"])) == found[:2] and found[0] < 50
+    assert np.allclose(np.linalg.eigvalsh(np.array(found[2]))[::-1], model.d, atol=1e-8)
