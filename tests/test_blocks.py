@@ -93,3 +93,13 @@ def test_folds_that_fill_the_cores_go_one_by_one(spark, scattered, monkeypatch):
     assert tuning.folds_at_a_time(spark, scattered, 3) == 3
     monkeypatch.setattr(tuning, "CELLS_PER_PARTITION", 10)
     assert tuning.folds_at_a_time(spark, scattered, 3) == 1
+
+
+def test_the_comparators_blocks_grow_with_the_cells(spark, scattered, monkeypatch):
+    """Ten blocks whatever the input: a block of 20 million cells did not fit a task's memory."""
+    cells = tuning.comparator_input(scattered.withColumn("row_id", scattered.row_id / 1000003))
+    assert tuning.comparator(2, 1).fit(cells).model.userFactors.rdd.getNumPartitions() == 10
+    monkeypatch.setattr(tuning, "COMPARATOR_BLOCK_CELLS", 50)
+    found, n = tuning.comparator(2, 1).fit(cells).model, cells.count()
+    assert found.userFactors.rdd.getNumPartitions() == found.itemFactors.rdd.getNumPartitions() == -(-n // 50) > 10
+    assert found.userFactors.count() == cells.select("row_id").distinct().count()
